@@ -50,32 +50,36 @@ def pair_segments(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     return hyps.hint("merge").join(other, "seg_id")
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    starts = F.when(
-        F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+def _with_grams(tokens: DataFrame, max_order: int) -> DataFrame:
+    """Add ``g1`` .. ``gn``; each order extends the one below by the token that follows."""
+    tokens = tokens.withColumn("g1", F.col("tokens"))
+    for n in range(2, max_order + 1):
+        left = F.greatest(F.size("tokens") - (n - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(f"g{n - 1}", F.lit(1), left),
+            F.slice("tokens", F.lit(n), left),
+            lambda gram, token: F.concat(gram, F.lit(" "), token),
+        )
+        tokens = tokens.withColumn(f"g{n}", grams)
+    return tokens
 
 
 def ngram_counts(segments: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     """Occurrences of each n-gram in the hypothesis and in the reference of its segment."""
-    tokens = segments.select(
-        "seg_id",
-        bleu_tokenize(F.col("hypothesis")).alias("hyp"),
-        bleu_tokenize(F.col("reference")).alias("ref"),
+    texts = F.array(
+        *[
+            F.struct(F.lit(int(c == "hypothesis")).alias("in_hyp"), bleu_tokenize(F.col(c)).alias("tokens"))
+            for c in ("hypothesis", "reference")
+        ]
     )
+    tokens = _with_grams(segments.select("seg_id", F.inline(texts)), max_order)
     lists = F.array(
         *[
-            F.struct(
-                F.lit(n).alias("n"),
-                F.lit(int(side == "hyp")).alias("in_hyp"),
-                _grams(F.col(side), n).alias("grams"),
-            )
-            for side in ("hyp", "ref")
+            F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("grams"))
             for n in range(1, max_order + 1)
         ]
     )
-    grams = tokens.select("seg_id", F.inline(lists)).select(
+    grams = tokens.select("seg_id", "in_hyp", F.inline(lists)).select(
         "seg_id", "n", "in_hyp", F.explode("grams").alias("gram")
     )
     return grams.groupBy("seg_id", "n", "gram").agg(

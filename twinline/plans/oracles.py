@@ -45,6 +45,10 @@ def _joined(c: str) -> str:
     return f"array_to_string({c}, ' ')"
 
 
+def _quoted(c: str) -> str:
+    return f"""'"' || replace({c}, '"', '""') || '"'"""
+
+
 _LINE = "strpos(text, chr(10))"
 _PAIRS = f"""pairs AS (
   SELECT u.conv_id * {V.TURNS} + u.turn AS id, u.text AS darija, a.text AS en
@@ -163,12 +167,14 @@ chars AS (
     coalesce(sum(freq) OVER (ORDER BY freq DESC, char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
       < {subword.COVERAGE} * sum(freq) OVER () AS kept
   FROM char_freq)"""
-_SEGMENTS = f"""{_CHARS}, alphabet AS (
+# Words to segment: those learned from, at their counts; others may be added at count 0.
+_LEARN_WORDS = "to_segment AS (SELECT word, freq FROM words)"
+_SEGMENTS = f"""{_CHARS}, {_LEARN_WORDS}, alphabet AS (
   SELECT char FROM chars WHERE kept UNION SELECT unnest([{_PROTECTED}, '{subword.WORD_MARK}'])),
 start AS (
   SELECT word, array_to_string(list_transform(string_split('{subword.WORD_MARK}' || word, ''),
-      lambda c: '{_O}' || CASE WHEN list_contains((SELECT list(char) FROM alphabet), c) THEN c ELSE '{_U}' END || '{_C}'), '') AS seg,
-    freq FROM words)"""
+      lambda c: '{_O}' || CASE WHEN list_contains(known, c) THEN c ELSE '{_U}' END || '{_C}'), '') AS seg,
+    freq FROM to_segment, (SELECT list(char) AS known FROM alphabet))"""
 _FREE = f"l NOT IN ({_PROTECTED}, '{_U}') AND r NOT IN ({_PROTECTED}, '{_U}')"
 
 
@@ -232,7 +238,8 @@ encoded AS (
   JOIN sides t ON t.source = s.source AND t.ord = s.ord WHERE s.side = 'src' AND t.side = 'tgt')"""
 
 
-_PIECES = "list_transform({c}, lambda i: (SELECT list(piece ORDER BY id) FROM vocab)[i + 1])"
+_PIECES = "list_transform({c}, lambda i: listed[i + 1])"
+_LISTED = "(SELECT list(piece ORDER BY id) AS listed FROM vocab)"
 
 
 def _tokens_13a(c: str) -> str:
@@ -248,15 +255,26 @@ _SEGS = """segs AS (
   SELECT doc_id AS seg_id, lang AS category, string_split(text, chr(10))[1] AS src, text AS reference,
     array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % (doc_id % 5 + 3) <> 0), ' ') AS hypothesis
   FROM documents)"""
-_GRAMS = f"""{_SEGS}, toks AS (
+_ITEMS = """segs AS (
+  SELECT item_id AS seg_id, text AS reference,
+    array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % (item_id % 5 + 3) <> 0), ' ') AS hypothesis
+  FROM benchmark)"""
+_COUNTS = f"""toks AS (
   SELECT seg_id, 1 AS in_hyp, {_tokens_13a('hypothesis')} AS t FROM segs UNION ALL
   SELECT seg_id, 0, {_tokens_13a('reference')} FROM segs),
+listed AS (SELECT seg_id, in_hyp, unnest(t) AS t1, unnest(range(1, len(t) + 1)) AS i FROM toks),
+ahead AS (
+  SELECT *, lead(t1, 1) OVER w AS t2, lead(t1, 2) OVER w AS t3, lead(t1, 3) OVER w AS t4
+  FROM listed WINDOW w AS (PARTITION BY seg_id, in_hyp ORDER BY i)),
 grams AS (
   SELECT seg_id, CAST(n AS INTEGER) AS n, gram, CAST(sum(in_hyp) AS BIGINT) AS hyp_count,
     CAST(sum(1 - in_hyp) AS BIGINT) AS ref_count
-  FROM (SELECT seg_id, in_hyp, n, unnest(list_transform(range(1, len(t) - n + 2),
-            lambda i: array_to_string(t[i:i + n - 1], ' '))) AS gram
-        FROM toks, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY 1, 2, 3),
+  FROM (SELECT seg_id, in_hyp, 1 AS n, t1 AS gram FROM ahead UNION ALL
+    SELECT seg_id, in_hyp, 2, t1 || ' ' || t2 FROM ahead WHERE t2 IS NOT NULL UNION ALL
+    SELECT seg_id, in_hyp, 3, t1 || ' ' || t2 || ' ' || t3 FROM ahead WHERE t3 IS NOT NULL UNION ALL
+    SELECT seg_id, in_hyp, 4, t1 || ' ' || t2 || ' ' || t3 || ' ' || t4 FROM ahead WHERE t4 IS NOT NULL)
+  GROUP BY 1, 2, 3)"""
+_GRAMS = f"""{_SEGS}, {_COUNTS},
 clipped AS (
   SELECT n, CAST(sum(least(hyp_count, ref_count)) AS BIGINT) AS matches,
     CAST(sum(hyp_count) AS BIGINT) AS hyp_total, CAST(sum(ref_count) AS BIGINT) AS ref_total FROM grams GROUP BY 1)"""
@@ -273,9 +291,10 @@ def oracle_sql() -> dict[str, str]:
         "scan_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
         "write_clean": f"WITH {_FIRST} SELECT src, tgt FROM firsts",
         "read_pairs_csv": f"WITH {_DOCS} SELECT src, tgt FROM docs",
-        "quarantine_rows": f"""WITH {_DOCS} SELECT CASE WHEN bad THEN 'bad' ELSE 'good' END AS outcome,
-            CASE WHEN NOT bad THEN category END AS category, CASE WHEN NOT bad THEN src END AS src,
-            CASE WHEN NOT bad THEN tgt END AS tgt
+        "quarantine_rows": f"""WITH {_DOCS} SELECT CASE WHEN bad THEN 'bad' ELSE 'good' END AS outcome, category,
+            CASE WHEN NOT bad THEN src END AS src, CASE WHEN NOT bad THEN tgt END AS tgt,
+            CASE WHEN ord % 7 = 0 THEN {_quoted('category')} || ',' || {_quoted('src')}
+              WHEN bad THEN {_quoted('category')} || ',' || {_quoted('src')} || ',' || {_quoted('tgt')} || ',surplus' END AS raw
             FROM (SELECT *, ord % 7 = 0 OR ord % 5 = 0 AS bad FROM docs)""",
         "write_splits": f"WITH {_HEADS} SELECT split, category, src, tgt FROM splits",
         "write_corpus": f"""WITH {_DOCS} SELECT line, count(*) AS n_lines FROM (
@@ -352,13 +371,13 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(len(list_filter(ids, lambda i: i = 1))) AS BIGINT) AS n_unk,
             CAST(sum(len(ids)) AS BIGINT) AS n_tokens FROM sides GROUP BY 1""",
         "decode_pieces": f"""WITH RECURSIVE {_encoded('docs')}
-            SELECT ord, {_joined(_PIECES.replace('{c}', 'tgt_ids'))} AS pieces FROM encoded""",
+            SELECT ord, {_joined(_PIECES.replace('{c}', 'tgt_ids'))} AS pieces FROM encoded, {_LISTED}""",
         "decode_text": f"""WITH RECURSIVE {_encoded('docs')} SELECT ord, regexp_replace(replace(replace(
             array_to_string({_PIECES.replace('{c}', 'tgt_ids')}, ''), '<UNK>', {_text(subword.UNKNOWN_TEXT)}),
-            '{subword.WORD_MARK}', ' '), '^ ', '') AS decoded FROM encoded""",
+            '{subword.WORD_MARK}', ' '), '^ ', '') AS decoded FROM encoded, {_LISTED}""",
         "shared_pieces": f"""WITH RECURSIVE {_encoded('docs')}, both_sides AS (
             SELECT ord, list_sort(list_distinct(list_intersect(src_ids, tgt_ids))) AS ids FROM encoded)
-            SELECT ord, {_joined('ids')} AS shared_ids, {_joined(_PIECES.replace('{c}', 'ids'))} AS shared FROM both_sides""",
+            SELECT ord, {_joined('ids')} AS shared_ids, {_joined(_PIECES.replace('{c}', 'ids'))} AS shared FROM both_sides, {_LISTED}""",
         "epoch_loss": f"""WITH {_LOG} SELECT run, CAST(epoch AS INTEGER) AS epoch, round(avg(loss), 6) AS avg_loss,
             count(*) AS n_batches FROM log GROUP BY 1, 2""",
         "val_loss": f"""WITH {_LOG}, b AS (SELECT run, epoch, batch, avg(loss) AS loss FROM log GROUP BY ALL)
@@ -385,7 +404,7 @@ def oracle_sql() -> dict[str, str]:
             FROM batched b JOIN framed s ON s.source = b.source AND s.ord = b.ord AND s.side = 'src'
             JOIN framed t ON t.source = b.source AND t.ord = b.ord AND t.side = 'tgt'""",
         "bleu_tokenize": f"SELECT doc_id, {_joined(_tokens_13a('text'))} AS tokens FROM documents",
-        "ngram_counts": f"WITH {_GRAMS} SELECT seg_id, n, gram, hyp_count, ref_count FROM grams",
+        "ngram_counts": f"WITH {_ITEMS}, {_COUNTS} SELECT seg_id, n, gram, hyp_count, ref_count FROM grams",
         "clipped_matches": f"WITH {_GRAMS} SELECT * FROM clipped",
         "bleu_corpus": _bleu(),
         "eval_table": f"WITH {_SEGS} SELECT seg_id, category, src, reference, hypothesis FROM segs ORDER BY seg_id",
@@ -394,7 +413,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _feed() -> str:
-    encoded = _encoded("sources").removeprefix(_DOCS + ", ")
+    more = f"""more_words AS (
+      SELECT unnest(string_split_regex(text, '[ \\t\\n\\f\\r]+')) AS raw FROM {_STACK.format(t='chat')}),
+    to_segment AS (SELECT word, freq FROM words UNION ALL SELECT DISTINCT {_fold('raw')}, 0 FROM more_words
+      WHERE raw <> '' AND {_fold('raw')} NOT IN (SELECT word FROM words))"""
+    encoded = _encoded("sources").removeprefix(_DOCS + ", ").replace(_LEARN_WORDS, more)
     return f"""{encoded}, framed AS (
       SELECT source, ord, side, list_concat(b, list_transform(range(0, 32 - len(b)), lambda x: 0)) AS p FROM (
         SELECT source, ord, side, list_concat([2], ids[1:30], [3]) AS b FROM sides))"""

@@ -107,7 +107,8 @@ def quarantine_rows(spark, sf_dir):
     scanned = tables.scan_csv(spark, path, columns, header="false", lineSep="\n")
     good, bad = tables.quarantine(scanned)
     good = good.select(F.lit("good").alias("outcome"), *columns)
-    return good.unionByName(bad.select(F.lit("bad").alias("outcome")), allowMissingColumns=True)
+    bad = bad.select(F.lit("bad").alias("outcome"), "category", "raw")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 @query
@@ -115,14 +116,7 @@ def write_splits(spark, sf_dir):
     path = scratch_path(spark, "splits")
     splits = split.stratified_split(V.category_pairs(spark, sf_dir))
     sinks.write_splits(splits.select("split", "category", "src", "tgt"), path)
-    columns = ["category", "src", "tgt"]
-    parts = [
-        tables.read_pairs_csv(spark, f"{path}/split={name}", columns).select(
-            F.lit(name).alias("split"), *columns
-        )
-        for name, _ in split.PER_CATEGORY
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return tables.read_pairs_csv(spark, path, ["category", "src", "tgt"], partitions=("split",))
 
 
 @query
@@ -473,7 +467,9 @@ def bleu_tokenize(spark, sf_dir):
 
 @query
 def ngram_counts(spark, sf_dir):
-    return bleu.ngram_counts(_segments(spark, sf_dir))
+    """Counts over the benchmark passages: one row per n-gram is much for long documents."""
+    items = V.benchmark_segments(spark, sf_dir)
+    return bleu.ngram_counts(items)
 
 
 @query

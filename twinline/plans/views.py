@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.operators.clean import nonempty_pairs, normalize_pairs
@@ -12,6 +12,7 @@ from twinline.sources.tables import scan_table, spread_small
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 LABELS = "doc_id long, quality int, toxic int"
+BENCHMARK = "item_id long, text string"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 TURNS = 1_000_000  # more turns than any conversation has
@@ -87,13 +88,16 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _thinned(text: str, key: str) -> Column:
+    """The text without every k-th word, k from 3 to 7."""
+    kept = F.filter(F.split(text, " "), lambda w, i: (i + 1) % (F.col(key) % 5 + 3).cast("int") != 0)
+    return F.array_join(kept, " ")
+
+
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with every k-th word left out, k from 3 to 7."""
-    kept = F.filter(
-        F.split("text", " "), lambda w, i: (i + 1) % (F.col("doc_id") % 5 + 3).cast("int") != 0
-    )
+    """Thinned documents."""
     return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("seg_id"), F.array_join(kept, " ").alias("hypothesis")
+        F.col("doc_id").alias("seg_id"), _thinned("text", "doc_id").alias("hypothesis")
     )
 
 
@@ -104,3 +108,12 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring_index("text", "\n", 1).alias("src"),
         F.col("text").alias("reference"),
     )
+
+
+def benchmark_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thinned benchmark passages against the whole ones."""
+    return scan_table(spark, f"{sf_dir}/benchmark.parquet", BENCHMARK).select(
+        F.col("item_id").alias("seg_id"),
+        _thinned("text", "item_id").alias("hypothesis"),
+        F.col("text").alias("reference"),
+    )

@@ -45,9 +45,14 @@ def string_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def scan_csv(spark: SparkSession, path: str, columns: list[str], **options: str) -> DataFrame:
-    """Headered CSV scan. Every cell is a string; malformed rows carry ``_bad``."""
-    schema = string_schema(columns).add(_BAD, T.StringType())
+def scan_csv(
+    spark: SparkSession, path: str, columns: list[str], partitions: tuple[str, ...] = (), **options: str
+) -> DataFrame:
+    """Headered CSV scan. Every cell is a string; malformed rows carry ``_bad``.
+
+    ``partitions`` names columns that come from folder names.
+    """
+    schema = string_schema([*columns, _BAD, *partitions])
     return (
         spark.read.schema(schema)
         .options(**{**CSV_FORMAT, **options})
@@ -60,18 +65,22 @@ def scan_csv(spark: SparkSession, path: str, columns: list[str], **options: str)
 
 
 def read_pairs_csv(
-    spark: SparkSession, path: str, columns: list[str], required: list[str] | None = None, **options: str
+    spark: SparkSession, path: str, columns: list[str], required: list[str] | None = None,
+    partitions: tuple[str, ...] = (), **options: str,
 ) -> DataFrame:
     """Well-formed rows, stripped, with every ``required`` column filled (default: all)."""
-    good, _ = quarantine(scan_csv(spark, path, columns, **options))
-    stripped = good.select(*[strip(F.col(c)).alias(c) for c in columns])
+    good, _ = quarantine(scan_csv(spark, path, columns, partitions, **options))
     for c in columns if required is None else required:
-        stripped = stripped.filter(is_filled(F.col(c)))
-    return stripped
+        good = good.filter(is_filled(F.col(c)))
+    return good.select(*partitions, *[strip(F.col(c)).alias(c) for c in columns])
 
 
 def quarantine(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split a CSV scan into well-formed rows and the raw text of malformed ones."""
+    """Split a CSV scan into well-formed rows and malformed ones.
+
+    The malformed keep their ``raw`` text beside the fields that could be read. Spark
+    parses CSV only for a query that uses some field, so do not select ``raw`` alone.
+    """
     good = scanned.filter(F.col(_BAD).isNull()).drop(_BAD)
-    bad = scanned.filter(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("raw"))
+    bad = scanned.filter(F.col(_BAD).isNotNull()).withColumnRenamed(_BAD, "raw")
     return good, bad
