@@ -22,7 +22,13 @@ def nonempty_pairs(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFra
 
 
 def _with_lower(df: DataFrame) -> DataFrame:
-    return df.withColumns({"_src_low": F.lower("src"), "_tgt_low": F.lower("tgt")})
+    # Through a generator, because a filter would be pushed through a projection, and with
+    # it a copy of every text expression for each mention in the rules.
+    texts = F.struct(
+        "src", "tgt", F.lower("src").alias("_src_low"), F.lower("tgt").alias("_tgt_low")
+    )
+    others = [c for c in df.columns if c not in ("src", "tgt")]
+    return df.select(*others, F.inline(F.array(texts)))
 
 
 def pair_key(src_low: Column, tgt_low: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -13,20 +14,20 @@ from pyspark.sql import types as T
 
 from twinline.functions.sequences import BOS, EOS, PAD, UNK, shared_ids, unknown_count
 from twinline.functions.text import fold
-from twinline.operators.subword import UNKNOWN_TEXT, WORD_MARK, SubwordModel
+from twinline.operators.subword import RAW_SPLIT, UNKNOWN_TEXT, WORD_MARK, SubwordModel
 
 # Words remembered by a Python worker; a bound on memory, not on what is encoded.
 CACHED_WORDS = 200_000
 
 
 def _word_encoder(model: SubwordModel) -> Callable[[str], list[int]]:
+    """Function from a raw word to ids. Folding and merging happen once per distinct word."""
     ids = {piece: i for i, piece, kind in model.vocab if kind != "special"}
     ranks: dict[tuple[str, str], list[int]] = {}
     for rank, left, right, _ in model.merges:
         ranks.setdefault((left, right), []).append(rank)
 
-    @lru_cache(CACHED_WORDS)
-    def encode(word: str) -> list[int]:
+    def encode_word(word: str) -> list[int]:
         syms = [c if c in ids else "" for c in WORD_MARK + word]
         done = -1
         while True:
@@ -48,7 +49,11 @@ def _word_encoder(model: SubwordModel) -> Callable[[str], list[int]]:
         # A run of unknown characters is one unknown token.
         return [ids.get(s, UNK) for i, s in enumerate(syms) if s or i == 0 or syms[i - 1]]
 
-    return encode
+    @lru_cache(CACHED_WORDS)
+    def encode_raw(raw: str) -> list[int]:
+        return [i for word in fold(raw).split(" ") if word for i in encode_word(word)]
+
+    return encode_raw
 
 
 def encoder(model: SubwordModel) -> Callable[[Column], Column]:
@@ -61,11 +66,9 @@ def encoder(model: SubwordModel) -> Callable[[Column], Column]:
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         word_ids = _word_encoder(model)
+        split = re.compile(RAW_SPLIT).split
         for texts in batches:
-            yield texts.map(
-                lambda text: [i for w in fold(text).split(" ") if w for i in word_ids(w)],
-                na_action="ignore",
-            )
+            yield texts.map(lambda text: [i for w in split(text) for i in word_ids(w)], na_action="ignore")
 
     return encode
 

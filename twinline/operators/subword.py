@@ -28,9 +28,11 @@ COVERAGE = 0.9995
 WORD_MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
 
+REBASE_SHARE = 0.25  # of all pairs, touched by waiting merges
+
 _OPEN, _CLOSE = "\x01", "\x02"
 _UNKNOWN = "\x03"  # stands for a character outside the vocabulary
-_RAW_SPLIT = r"[ \t\n\f\r]+"  # whitespace that folding turns into a space
+RAW_SPLIT = r"[ \t\n\f\r]+"  # whitespace that folding turns into a space
 MERGES_SCHEMA = "rank int, left string, right string, freq long"
 VOCAB_SCHEMA = "id int, piece string, kind string"
 
@@ -40,7 +42,7 @@ def word_freq(pairs: DataFrame) -> DataFrame:
 
     Raw words are counted first, so that Python folds each distinct word once.
     """
-    tokens = stack_sides(pairs, keep=()).select(F.explode(F.split("text", _RAW_SPLIT)).alias("raw"))
+    tokens = stack_sides(pairs, keep=()).select(F.explode(F.split("text", RAW_SPLIT)).alias("raw"))
     counted = tokens.filter("raw != ''").groupBy("raw").agg(F.count("*").alias("n"))
     folded = counted.select(F.explode(F.split(nfkc_fold("raw"), " ")).alias("word"), "n")
     return folded.filter("word != ''").groupBy("word").agg(F.sum("n").alias("freq"))
@@ -48,7 +50,7 @@ def word_freq(pairs: DataFrame) -> DataFrame:
 
 def folded_words(pairs: DataFrame) -> DataFrame:
     """Each distinct raw word with its folded form."""
-    tokens = stack_sides(pairs, keep=()).select(F.explode(F.split("text", _RAW_SPLIT)).alias("raw"))
+    tokens = stack_sides(pairs, keep=()).select(F.explode(F.split("text", RAW_SPLIT)).alias("raw"))
     return tokens.filter("raw != ''").distinct().select("raw", nfkc_fold("raw").alias("folded"))
 
 
@@ -102,8 +104,7 @@ def _char_class(chars: Sequence[str]) -> str:
     return "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in spans)
 
 
-def pair_counts(segmented: DataFrame, protected: Sequence[str] = PROTECTED) -> DataFrame:
-    """Adjacent symbol pairs weighted by word frequency; protected symbols never pair."""
+def _pair_rows(segmented: DataFrame, protected: Sequence[str]) -> DataFrame:
     sym = segmented.select(symbols(F.col("seg")).alias("s"), "freq")
     pairs = sym.select(
         F.inline(
@@ -115,19 +116,42 @@ def pair_counts(segmented: DataFrame, protected: Sequence[str] = PROTECTED) -> D
         "freq",
     )
     fixed = [*protected, _UNKNOWN]
-    free = pairs.filter(~(F.col("left").isin(fixed) | F.col("right").isin(fixed)))
-    return free.groupBy("left", "right").agg(F.sum("freq").alias("freq"))
+    return pairs.filter(~(F.col("left").isin(fixed) | F.col("right").isin(fixed)))
 
 
-def apply_merges(segmented: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """Join each listed pair, left to right in every word, in list order.
+def pair_counts(segmented: DataFrame, protected: Sequence[str] = PROTECTED) -> DataFrame:
+    """Adjacent symbol pairs weighted by word frequency; protected symbols never pair."""
+    return _pair_rows(segmented, protected).groupBy("left", "right").agg(F.sum("freq").alias("freq"))
 
-    The list enters as one literal, so the plans of all rounds share their compiled code.
-    """
+
+def _merged(seg: Column, merges: Sequence[tuple[str, str]]) -> Column:
+    # The list enters as one literal, so the plans of all rounds share their compiled code.
     steps = [{"found": _wrapped(left, right), "put": _wrapped(left + right)} for left, right in merges]
     listed = F.from_json(F.lit(json.dumps(steps)), "array<struct<found:string,put:string>>")
-    seg = F.aggregate(listed, F.col("seg"), lambda seg, m: F.replace(seg, m["found"], m["put"]))
-    return segmented.select(seg.alias("seg"), "freq")
+    return F.aggregate(listed, seg, lambda seg, m: F.replace(seg, m["found"], m["put"]))
+
+
+def apply_merges(segmented: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
+    """Join each listed pair, left to right in every word, in list order."""
+    return segmented.select(_merged(F.col("seg"), merges).alias("seg"), "freq")
+
+
+def updated_counts(
+    counts: DataFrame, segmented: DataFrame, merges: Sequence[tuple[str, str]],
+    protected: Sequence[str] = PROTECTED,
+) -> DataFrame:
+    """Pair counts after ``merges``, from the counts before.
+
+    Only words that some merge changes are taken apart: their old pairs are subtracted and
+    their new ones added. Late merges touch few words, so most of the table is only searched.
+    """
+    both = segmented.select("seg", _merged(F.col("seg"), merges).alias("after"), "freq")
+    versions = F.array(
+        F.struct("seg", (-F.col("freq")).alias("freq")), F.struct(F.col("after").alias("seg"), "freq")
+    )
+    changed = both.select(F.inline(F.when(F.col("after") != F.col("seg"), versions)))
+    summed = counts.unionByName(_pair_rows(changed, protected)).groupBy("left", "right")
+    return summed.agg(F.sum("freq").alias("freq")).filter("freq > 0")
 
 
 def settled_prefix(
@@ -157,6 +181,22 @@ def settled_prefix(
     return prefix[:1] + [p for p in prefix[1:] if p[2] > blocked]
 
 
+def disjoint_pairs(
+    top: Sequence[tuple[str, str, int]], pieces: set[str], most: int
+) -> list[tuple[str, str, int]]:
+    """Up to ``most`` pairs of ``top`` without a common symbol. Later ones may be out of order."""
+    used: set[str] = set()
+    made = set(pieces)
+    chosen: list[tuple[str, str, int]] = []
+    for left, right, freq in top:
+        free = left not in used and right not in used and left != right and left + right not in made
+        if len(chosen) < most and (free or not chosen):
+            used |= {left, right}
+            made.add(left + right)
+            chosen.append((left, right, freq))
+    return chosen
+
+
 @dataclass
 class SubwordModel:
     """Merges in rank order and the vocabulary. Both are bounded by the vocabulary size."""
@@ -184,14 +224,17 @@ class SubwordModel:
 
 def learn_bpe(
     words: DataFrame, vocab_size: int = VOCAB_SIZE, protected: Sequence[str] = PROTECTED,
-    coverage: float = COVERAGE, lookahead: int = 128, rebase_every: int = 32,
+    coverage: float = COVERAGE, lookahead: int = 128, merges_per_round: int | None = None,
+    rebase_every: int = 32,
 ) -> SubwordModel:
     """Learn merges from a (word, freq) table until the vocabulary is full.
 
-    Each round is one Spark job: count pairs, fetch the ``lookahead`` most frequent ones and
-    merge as many as are settled. Ties go to the smaller left, then right symbol. The result equals
-    merging one pair a round. Every ``rebase_every`` merges the word table is written
-    back to the shared folder without the words that have become one symbol.
+    Each round is one Spark job: update the pair counts, fetch the ``lookahead`` most frequent
+    and merge as many as are settled; ties go to the smaller left, then right symbol. The
+    result equals merging one pair a round. ``merges_per_round`` instead takes up to that many
+    pairs without a common symbol, which needs far fewer rounds and gives a slightly
+    different list. Words and counts are written back to the shared folder when
+    ``rebase_every`` merges wait, or fewer that touch a good part of the corpus.
     """
     # Unicode bounds the alphabet; the rest of the driver's state is the vocabulary itself.
     kept = char_coverage(words, coverage).filter("kept").orderBy("char_rank")
@@ -204,28 +247,37 @@ def learn_bpe(
     # An explicit count keeps the small partitions apart: every round is CPU work on them.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = materialize(segment_chars(words, alphabet).repartition(tasks, "seg"), "segments")
+    counts = materialize(pair_counts(base, protected), "counts")
+    weight = counts.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("w")).first().w
     model = SubwordModel()
     pending: list[tuple[str, str]] = []
+    touched = 0
     while len(vocab) < vocab_size:
-        counts = pair_counts(apply_merges(base, pending), protected)
-        best = counts.orderBy(F.desc("freq"), "left", "right").limit(lookahead).collect()
+        current = updated_counts(counts, base, pending, protected) if pending else counts
+        best = current.orderBy(F.desc("freq"), "left", "right").limit(lookahead).collect()
         model.rounds += 1
         if not best:
             break
         top = [(r.left, r.right, r.freq) for r in best]
-        settled = settled_prefix(top, pieces, len(top) < lookahead)
-        for left, right, freq in settled[: rebase_every - len(pending)]:
+        if merges_per_round is None:
+            chosen = settled_prefix(top, pieces, len(top) < lookahead)
+        else:
+            chosen = disjoint_pairs(top, pieces, merges_per_round)
+        for left, right, freq in chosen:
             model.merges.append((len(model.merges), left, right, freq))
             pending.append((left, right))
+            touched += freq
             if left + right not in pieces:
                 pieces.add(left + right)
                 vocab.append((len(vocab), left + right, "merge"))
             if len(vocab) == vocab_size:
                 break
-        if len(pending) == rebase_every:
-            merged = apply_merges(base, pending)
-            unfinished = merged.filter(F.col("seg").contains(_CLOSE + _OPEN))
-            base, pending = materialize(unfinished, "segments"), []
+        if len(pending) >= rebase_every or touched > weight * REBASE_SHARE:
+            counts = materialize(updated_counts(counts, base, pending, protected), "counts")
+            # A word that has become one symbol has no pairs left.
+            unfinished = apply_merges(base, pending).filter(F.col("seg").contains(_CLOSE + _OPEN))
+            base = materialize(unfinished, "segments")
+            pending, touched = [], 0
     model.vocab = vocab
     return model
 
