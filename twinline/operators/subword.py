@@ -28,7 +28,7 @@ COVERAGE = 0.9995
 WORD_MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
 
-REBASE_SHARE = 0.25  # of all pairs, touched by waiting merges
+REBASE_SHARE = 0.5  # of all pairs, touched by waiting merges
 
 _OPEN, _CLOSE = "\x01", "\x02"
 _UNKNOWN = "\x03"  # stands for a character outside the vocabulary

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.functions.text import is_filled
-from twinline.sources.tables import CSV_FORMAT
+from twinline.sources.tables import CSV_FORMAT, scan_csv
 
 # Quoted line ends make a CSV file unsplittable, so files are kept small enough for one task.
 ROWS_PER_FILE = 500_000
@@ -42,17 +42,14 @@ def write_corpus(df: DataFrame, path: str, column: str = "text") -> None:
 
 
 def sink_report(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows, files and bytes of a written CSV folder, counted from the files themselves."""
-    from twinline.sources.tables import scan_csv
-
-    per_file = (
-        scan_csv(spark, path, columns)
-        .groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-        .agg(F.count("*").alias("n"))
-    )
-    return per_file.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+    """Rows read back from a CSV folder, its files and their bytes."""
+    # Without its content column the binary source lists files and reads none of them.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    n_rows = scan_csv(spark, path, columns).agg(F.count("*")).scalar()
+    size = F.coalesce(F.sum("length"), F.lit(0))
+    return files.agg(
+        n_rows.alias("n_rows"),
         F.count("*").alias("n_files"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"),
-        F.round(F.coalesce(F.sum("size"), F.lit(0)) / 1024, 1).alias("size_kb"),
+        size.alias("n_bytes"),
+        F.round(size / 1024, 1).alias("size_kb"),
     )

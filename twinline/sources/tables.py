@@ -53,7 +53,7 @@ def scan_csv(
     ``partitions`` names columns that come from folder names.
     """
     schema = string_schema([*columns, _BAD, *partitions])
-    return (
+    scanned = (
         spark.read.schema(schema)
         .options(**{**CSV_FORMAT, **options})
         .option("mode", "PERMISSIVE")
@@ -62,6 +62,8 @@ def scan_csv(
         .option("columnPruning", "false")
         .csv(path)
     )
+    # Always true: Spark refuses a query, such as a count, that uses no field but ``_bad``.
+    return scanned.filter(F.coalesce(F.length(columns[0]), F.lit(0)) >= 0)
 
 
 def read_pairs_csv(
@@ -78,8 +80,7 @@ def read_pairs_csv(
 def quarantine(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a CSV scan into well-formed rows and malformed ones.
 
-    The malformed keep their ``raw`` text beside the fields that could be read. Spark
-    parses CSV only for a query that uses some field, so do not select ``raw`` alone.
+    The malformed keep their ``raw`` text beside the fields that could be read.
     """
     good = scanned.filter(F.col(_BAD).isNull()).drop(_BAD)
     bad = scanned.filter(F.col(_BAD).isNotNull()).withColumnRenamed(_BAD, "raw")
