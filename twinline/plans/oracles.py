@@ -299,6 +299,8 @@ def oracle_sql() -> dict[str, str]:
         "write_splits": f"WITH {_HEADS} SELECT split, category, src, tgt FROM splits",
         "write_corpus": f"""WITH {_DOCS} SELECT line, count(*) AS n_lines FROM (
             SELECT unnest(string_split(text, chr(10))) AS line FROM {doc_stack}) GROUP BY 1""",
+        "sink_report": f"""WITH {_FIRST} SELECT count(*) AS n_rows, CAST(sum(strlen({_quoted('src')})
+            + strlen({_quoted('tgt')}) + 2) AS BIGINT) AS body_bytes FROM firsts""",
         "normalize_pairs": f"""WITH {_PAIRS}
             SELECT id AS ord, {_strip('darija')} AS src, {_strip('en')} AS tgt FROM pairs""",
         "nonempty_pairs": f"WITH {_RAW} SELECT ord, src, tgt FROM raw_docs WHERE {_filled('src')} AND {_filled('tgt')}",
