@@ -135,7 +135,7 @@ def test_split_takes_first_rows(spark):
 
 
 def test_split_limits_groups_before_the_shuffle(spark):
-    plan = plan_of(split.stratified_split(spark.createDataFrame(category_rows(), CATEGORY)))
+    plan = plan_of(split.split_positions(spark.createDataFrame(category_rows(), CATEGORY)))
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 

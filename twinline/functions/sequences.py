@@ -12,9 +12,9 @@ MAX_LEN = 32
 
 def pack(ids: Column, max_len: int = MAX_LEN) -> Column:
     """Cut the body to ``max_len - 2`` ids, add BOS and EOS, pad on the right."""
-    body = F.slice(ids, 1, max_len - 2)
-    framed = F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS)))
-    return F.concat(framed, F.array_repeat(F.lit(PAD), max_len - F.size(framed)))
+    room = max_len - 2
+    padding = F.array_repeat(F.lit(PAD), room - F.least(F.size(ids), F.lit(room)))
+    return F.concat(F.array(F.lit(BOS)), F.slice(ids, 1, room), F.array(F.lit(EOS)), padding)
 
 
 def decoder_input(packed: Column) -> Column:

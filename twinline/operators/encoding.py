@@ -56,27 +56,28 @@ def _word_encoder(model: SubwordModel) -> Callable[[str], list[int]]:
     return encode_raw
 
 
-def encoder(model: SubwordModel) -> Callable[[Column], Column]:
-    """Column function text -> ids. The model, bounded by its vocabulary, ships with the function.
+def encode_pairs(pairs: DataFrame, model: SubwordModel) -> DataFrame:
+    """Add ``src_ids`` and ``tgt_ids``.
 
-    It runs where the text lies: exploding every word to a join would shuffle the corpus twice.
-    Each worker encodes a word once and remembers it.
+    Both sides go through Python together, where their text lies: exploding every word to
+    a join would shuffle the corpus twice. Each worker encodes a word once and remembers
+    it. The model, bounded by its vocabulary, ships with the function.
     """
+    ids = T.ArrayType(T.IntegerType())
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(T.StructType().add("src_ids", ids).add("tgt_ids", ids))
+    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         word_ids = _word_encoder(model)
         split = re.compile(RAW_SPLIT).split
-        for texts in batches:
-            yield texts.map(lambda text: [i for w in split(text) for i in word_ids(w)], na_action="ignore")
 
-    return encode
+        def encode_text(text: str | None) -> list[int] | None:
+            return None if text is None else [i for w in split(text) for i in word_ids(w)]
 
+        for src, tgt in batches:
+            yield pd.DataFrame({"src_ids": src.map(encode_text), "tgt_ids": tgt.map(encode_text)})
 
-def encode_pairs(pairs: DataFrame, model: SubwordModel) -> DataFrame:
-    """Add ``src_ids`` and ``tgt_ids``."""
-    encode = encoder(model)
-    return pairs.withColumns({"src_ids": encode(F.col("src")), "tgt_ids": encode(F.col("tgt"))})
+    encoded = pairs.withColumn("_ids", encode("src", "tgt"))
+    return encoded.select(*pairs.columns, "_ids.src_ids", "_ids.tgt_ids")
 
 
 def _piece_list(vocab: DataFrame) -> Column:

@@ -9,7 +9,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinline.operators.prefix import global_index
+from twinline.operators.prefix import bucket_sizes, global_index
+from twinline.session import materialize
 
 
 def stack_sources(sources: Mapping[str, DataFrame], columns: list[str]) -> DataFrame:
@@ -77,13 +78,14 @@ def assign_batches(
         keyed = df
         bucket = F.floor(F.col(order) / bucket_span)
         by = [order]
-    indexed = global_index(keyed.withColumn("_bucket", bucket), "_bucket", by, "_index")
-    out = indexed.select(
+    bucketed = keyed.withColumn("_bucket", bucket)
+    sizes = materialize(bucket_sizes(bucketed, "_bucket"), "buckets")
+    out = global_index(bucketed, sizes, "_bucket", by, "_index").select(
         *df.columns,
         F.floor(F.col("_index") / batch_size).alias("batch_id"),
         (F.col("_index") % batch_size).cast("int").alias("pos"),
     )
     if not drop_last:
         return out
-    full = df.agg(F.floor(F.count("*") / batch_size).alias("n_full")).scalar()
+    full = sizes.agg(F.floor(F.sum("_n") / batch_size)).scalar()
     return out.filter(F.col("batch_id") < full)

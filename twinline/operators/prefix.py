@@ -44,14 +44,20 @@ def running_sums(
     return out
 
 
-def global_index(df: DataFrame, bucket: str, order: list[str], name: str, span: int = 4096) -> DataFrame:
+def bucket_sizes(df: DataFrame, bucket: str) -> DataFrame:
+    return df.groupBy(bucket).agg(F.count("*").alias("_n"))
+
+
+def global_index(
+    df: DataFrame, sizes: DataFrame, bucket: str, order: list[str], name: str, span: int = 4096
+) -> DataFrame:
     """Add the 0-based global position of each row under (``bucket``, ``order``).
 
-    ``bucket`` is an integer that never falls along the order. Rows are numbered inside
-    their bucket and shifted by the rows of earlier buckets, so no task sees all rows.
+    ``bucket`` is an integer that never falls along the order, ``sizes`` its row counts. Rows
+    are numbered inside their bucket and shifted by the rows of earlier buckets, so no task
+    sees all rows.
     """
-    sizes = df.groupBy(bucket).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
-    ends = running_sums(sizes, ["_all"], bucket, {"_end": "_n"}, span)
+    ends = running_sums(sizes.withColumn("_all", F.lit(0)), ["_all"], bucket, {"_end": "_n"}, span)
     starts = ends.select(F.col(bucket).alias("_b"), (F.col("_end") - F.col("_n")).alias("_start"))
     inside = Window.partitionBy(bucket).orderBy(*order)
     return (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinline.session import small_side
+
 
 def provenance_rollup(pairs: DataFrame) -> DataFrame:
     """Pairs by (category, source), by category, and in all; null marks a total."""
@@ -16,7 +18,8 @@ def provenance_rollup(pairs: DataFrame) -> DataFrame:
 def consent_filter(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
     """Pairs whose session did not withhold consent.
 
-    The session list is joined by its measured size: broadcast if small, else shuffled.
+    The list of withheld sessions is broadcast if its counted size allows: one session may
+    hold much of the corpus, and its pairs then stay where they are.
     """
-    withheld = sessions.filter(~F.col("consent")).select("session_id")
-    return pairs.join(withheld, "session_id", "left_anti")
+    withheld = sessions.filter(~F.col("consent")).select("session_id").distinct()
+    return pairs.join(small_side(withheld, "withheld"), "session_id", "left_anti")

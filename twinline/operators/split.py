@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinline.functions.text import is_filled
+from twinline.session import small_side
 
 # Rows taken from each category, in order of position.
 PER_CATEGORY = (("train", 8), ("val", 1), ("test", 1))
@@ -25,24 +26,32 @@ def _label(position: Column) -> Column:
     return label
 
 
-def stratified_split(df: DataFrame) -> DataFrame:
-    """First rows of each category by ``ord``: 8 train, 1 val, 1 test.
+def split_positions(df: DataFrame) -> DataFrame:
+    """``ord, position, split`` of the rows a split takes.
 
-    Categories with fewer rows are left out whole; rows past the tenth are unused. Only
-    (category, ord) is ranked: the group limit keeps ten rows per category and task
-    before the shuffle, and the few winners fetch their text by ``ord``.
+    Only (category, ord) is ranked, and the group limit keeps ten rows per category and
+    task before the shuffle, however large a category is.
     """
-    usable = _usable(df)
     ranked = Window.partitionBy("category").orderBy("ord")
-    heads = (
-        usable.select("category", "ord")
+    return (
+        _usable(df)
+        .select("category", "ord")
         .withColumn("position", F.row_number().over(ranked))
         .filter(F.col("position") <= SPLIT_SIZE)
         .withColumn("_n", F.count("*").over(Window.partitionBy("category")))
         .filter(F.col("_n") == SPLIT_SIZE)
         .select("ord", "position", _label(F.col("position")).alias("split"))
     )
-    return usable.join(heads, "ord").select("split", "category", "position", "ord", "src", "tgt")
+
+
+def stratified_split(df: DataFrame) -> DataFrame:
+    """First rows of each category by ``ord``: 8 train, 1 val, 1 test.
+
+    Categories with fewer rows are left out whole; rows past the tenth are unused. The
+    few winners fetch their text by ``ord``, unique in the table, so no other text moves.
+    """
+    heads = small_side(split_positions(df), "heads")
+    return df.join(heads, "ord").select("split", "category", "position", "ord", "src", "tgt")
 
 
 def category_report(df: DataFrame) -> DataFrame:

@@ -236,6 +236,7 @@ def learn_bpe(
     different list. Words and counts are written back to the shared folder when
     ``rebase_every`` merges wait, or fewer that touch a good part of the corpus.
     """
+    words = materialize(words, "words")
     # Unicode bounds the alphabet; the rest of the driver's state is the vocabulary itself.
     kept = char_coverage(words, coverage).filter("kept").orderBy("char_rank")
     chars = [r.char for r in kept.select("char").collect()]

@@ -15,7 +15,7 @@ from twinline.functions import sequences as Q
 from twinline.functions.text import words
 from twinline.operators import bleu, clean, encoding, losses, mix, profile, provenance, split, subword
 from twinline.plans import views as V
-from twinline.session import scratch_path
+from twinline.session import materialize, scratch_path
 from twinline.sources import sinks, tables
 
 # Parameters of the queries, shared with their SQL counterparts.
@@ -280,7 +280,8 @@ def split_report(spark, sf_dir):
 
 @query
 def split_leakage(spark, sf_dir):
-    return split.split_leakage(split.stratified_split(V.category_pairs(spark, sf_dir)))
+    splits = materialize(split.stratified_split(V.category_pairs(spark, sf_dir)), "splits")
+    return split.split_leakage(splits)
 
 
 # Mix and batches
@@ -333,7 +334,7 @@ def char_coverage(spark, sf_dir):
 
 @query
 def bpe_pair_counts(spark, sf_dir):
-    vocab_words = _words(spark, sf_dir)
+    vocab_words = materialize(_words(spark, sf_dir), "words")
     kept = subword.char_coverage(vocab_words).filter("kept").select("char")
     alphabet = [r.char for r in kept.collect()]
     alphabet = sorted({*alphabet, *subword.PROTECTED})

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _fallback: dict[str, str] = {}
@@ -35,3 +36,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, label: str, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` computed once, and marked for broadcast if it has at most ``max_rows`` rows.
+
+    For keys of a few bytes. A longer table is left to a shuffled join.
+    """
+    stored = materialize(df, label)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
