@@ -28,7 +28,7 @@ COVERAGE = 0.9995
 WORD_MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
 
-REBASE_SHARE = 0.5  # of all pairs, touched by waiting merges
+RECOUNT_SHARE = 0.05  # of all pairs: when waiting merges touch more, count all words anew
 
 _OPEN, _CLOSE = "\x01", "\x02"
 _UNKNOWN = "\x03"  # stands for a character outside the vocabulary
@@ -225,16 +225,17 @@ class SubwordModel:
 def learn_bpe(
     words: DataFrame, vocab_size: int = VOCAB_SIZE, protected: Sequence[str] = PROTECTED,
     coverage: float = COVERAGE, lookahead: int = 128, merges_per_round: int | None = None,
-    rebase_every: int = 32,
+    rebase_every: int = 16,
 ) -> SubwordModel:
     """Learn merges from a (word, freq) table until the vocabulary is full.
 
-    Each round is one Spark job: update the pair counts, fetch the ``lookahead`` most frequent
+    Each round is one Spark job: count pairs, from scratch while merges are frequent and
+    by updates once they touch few words, fetch the ``lookahead`` most frequent
     and merge as many as are settled; ties go to the smaller left, then right symbol. The
     result equals merging one pair a round. ``merges_per_round`` instead takes up to that many
     pairs without a common symbol, which needs far fewer rounds and gives a slightly
     different list. Words and counts are written back to the shared folder when
-    ``rebase_every`` merges wait, or fewer that touch a good part of the corpus.
+    ``rebase_every`` merges wait.
     """
     words = materialize(words, "words")
     # Unicode bounds the alphabet; the rest of the driver's state is the vocabulary itself.
@@ -254,7 +255,10 @@ def learn_bpe(
     pending: list[tuple[str, str]] = []
     touched = 0
     while len(vocab) < vocab_size:
-        current = updated_counts(counts, base, pending, protected) if pending else counts
+        if touched > weight * RECOUNT_SHARE:
+            current = pair_counts(apply_merges(base, pending), protected)
+        else:
+            current = updated_counts(counts, base, pending, protected) if pending else counts
         best = current.orderBy(F.desc("freq"), "left", "right").limit(lookahead).collect()
         model.rounds += 1
         if not best:
@@ -273,11 +277,11 @@ def learn_bpe(
                 vocab.append((len(vocab), left + right, "merge"))
             if len(vocab) == vocab_size:
                 break
-        if len(pending) >= rebase_every or touched > weight * REBASE_SHARE:
-            counts = materialize(updated_counts(counts, base, pending, protected), "counts")
+        if len(pending) >= rebase_every:
             # A word that has become one symbol has no pairs left.
             unfinished = apply_merges(base, pending).filter(F.col("seg").contains(_CLOSE + _OPEN))
             base = materialize(unfinished, "segments")
+            counts = materialize(pair_counts(base, protected), "counts")
             pending, touched = [], 0
     model.vocab = vocab
     return model
