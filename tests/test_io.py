@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinline.operators.profile import stack_sides
-from twinline.session import materialize, scratch_root
+from twinline.session import discard, materialize, scratch_root, store
 from twinline.sources import sinks, tables
 from twinline.streaming import clean_stream
 
@@ -84,3 +85,13 @@ def test_rules_run_on_streams(spark, tmp_path):
     assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [tuple(r) for r in got] == [(1, "one two three", "four five six")]
+
+
+def test_discard_refuses_foreign_paths(spark, tmp_path):
+    stored, path = store(spark.range(3), "t")
+    assert stored.count() == 3
+    discard(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+    with pytest.raises(ValueError):
+        discard(spark, str(tmp_path))

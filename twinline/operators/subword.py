@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from twinline.functions.sequences import BOS, EOS, PAD, UNK
 from twinline.functions.text import nfkc_fold
 from twinline.operators.profile import stack_sides
-from twinline.session import materialize
+from twinline.session import discard, materialize, store
 
 # Names of the special tokens, protected digits, vocabulary size, coverage,
 # the mark that opens a word, and the text shown for an unknown token.
@@ -225,7 +225,7 @@ class SubwordModel:
 def learn_bpe(
     words: DataFrame, vocab_size: int = VOCAB_SIZE, protected: Sequence[str] = PROTECTED,
     coverage: float = COVERAGE, lookahead: int = 128, merges_per_round: int | None = None,
-    rebase_every: int = 16,
+    rebase_every: int = 32,
 ) -> SubwordModel:
     """Learn merges from a (word, freq) table until the vocabulary is full.
 
@@ -237,6 +237,7 @@ def learn_bpe(
     different list. Words and counts are written back to the shared folder when
     ``rebase_every`` merges wait.
     """
+    spark = words.sparkSession
     words = materialize(words, "words")
     # Unicode bounds the alphabet; the rest of the driver's state is the vocabulary itself.
     kept = char_coverage(words, coverage).filter("kept").orderBy("char_rank")
@@ -247,9 +248,9 @@ def learn_bpe(
     pieces = {piece for _, piece, _ in vocab}
     alphabet = sorted({*chars, *protected, WORD_MARK})
     # An explicit count keeps the small partitions apart: every round is CPU work on them.
-    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = materialize(segment_chars(words, alphabet).repartition(tasks, "seg"), "segments")
-    counts = materialize(pair_counts(base, protected), "counts")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base, base_path = store(segment_chars(words, alphabet).repartition(tasks, "seg"), "segments")
+    counts, counts_path = store(pair_counts(base, protected), "counts")
     weight = counts.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("w")).first().w
     model = SubwordModel()
     pending: list[tuple[str, str]] = []
@@ -280,9 +281,14 @@ def learn_bpe(
         if len(pending) >= rebase_every:
             # A word that has become one symbol has no pairs left.
             unfinished = apply_merges(base, pending).filter(F.col("seg").contains(_CLOSE + _OPEN))
-            base = materialize(unfinished, "segments")
-            counts = materialize(pair_counts(base, protected), "counts")
+            superseded = base_path, counts_path
+            base, base_path = store(unfinished, "segments")
+            counts, counts_path = store(pair_counts(base, protected), "counts")
             pending, touched = [], 0
+            for path in superseded:
+                discard(spark, path)
+    for path in (base_path, counts_path):
+        discard(spark, path)
     model.vocab = vocab
     return model
 

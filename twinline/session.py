@@ -27,15 +27,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/twinline/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back; also gives the path.
 
     Cuts the lineage once, computes once, and survives lost executors.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """:func:`store` for a table that is kept for the session."""
+    return store(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    if f"{scratch_root(spark)}/twinline/" not in path:
+        raise ValueError(f"not a stored table: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_side(df: DataFrame, label: str, max_rows: int = 1_000_000) -> DataFrame:
