@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from twinline.functions.text import SPACE, WORD_END, WORD_START, has_min_words
 
-# The digits used as letters, the code-point ranges read as emoji,
-# and the dialect terms whose parts may be joined or spaced.
+# The digits used as letters, what opens a link, what closes a site name, the
+# code-point ranges read as emoji, and the dialect terms whose parts may be joined or spaced.
 DIGITS = "37950"
+LINK_STARTS = ("http://", "https://", "www.")
+SITE_ENDS = (".com", ".net", ".org")
 EMOJI = (
     (0x1F600, 0x1F64F),
     (0x1F300, 0x1F5FF),
@@ -47,9 +49,10 @@ def has_mixed_digits(col: Column, digits: str = DIGITS) -> Column:
 
 def has_url(col: Column, low: Column | None = None) -> Column:
     low = F.lower(col) if low is None else low
-    return _contains_any(low, ("http", "www.", ".com", ".net", ".org")) & col.rlike(
-        rf"(?iu)https?://|www\.|\.(?:com|net|org){WORD_END}"
-    )
+    starts, ends = ("|".join(map(re.escape, parts)) for parts in (LINK_STARTS, SITE_ENDS))
+    # "https" holds an "s", so the guard asks for "http" alone.
+    guard = _contains_any(low, ("http", "www.", *SITE_ENDS))
+    return guard & col.rlike(f"(?iu){starts}|(?:{ends}){WORD_END}")
 
 
 def has_at_or_hash(col: Column) -> Column:

@@ -51,12 +51,12 @@ def _quoted(c: str) -> str:
 
 _LINE = "strpos(text, chr(10))"
 _PAIRS = f"""pairs AS (
-  SELECT u.conv_id * {V.TURNS} + u.turn AS id, u.text AS darija, a.text AS en
+  SELECT u.conv_id * {V.TURNS} + u.turn AS id, u.text AS dialect, a.text AS english
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 _CHAT = f"""chat AS (
-  SELECT id AS ord, {_strip('darija')} AS src, {_strip('en')} AS tgt FROM pairs
-  WHERE {_filled('darija')} AND {_filled('en')})"""
+  SELECT id AS ord, {_strip('dialect')} AS src, {_strip('english')} AS tgt FROM pairs
+  WHERE {_filled('dialect')} AND {_filled('english')})"""
 _RAW = f"""raw_docs AS (
   SELECT doc_id AS ord, lang AS category, source,
     CASE WHEN {_LINE} > 0 THEN substr(text, 1, {_LINE} - 1) ELSE '' END AS src,
@@ -302,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "sink_report": f"""WITH {_FIRST} SELECT count(*) AS n_rows, CAST(sum(strlen({_quoted('src')})
             + strlen({_quoted('tgt')}) + 2) AS BIGINT) AS body_bytes FROM firsts""",
         "normalize_pairs": f"""WITH {_PAIRS}
-            SELECT id AS ord, {_strip('darija')} AS src, {_strip('en')} AS tgt FROM pairs""",
+            SELECT id AS ord, {_strip('dialect')} AS src, {_strip('english')} AS tgt FROM pairs""",
         "nonempty_pairs": f"WITH {_RAW} SELECT ord, src, tgt FROM raw_docs WHERE {_filled('src')} AND {_filled('tgt')}",
         "word_counts": f"""WITH {_DOCS} SELECT ord, CAST({_count('src')} AS INTEGER) AS src_words,
             CAST({_count('tgt')} AS INTEGER) AS tgt_words FROM docs""",

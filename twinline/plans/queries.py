@@ -141,7 +141,7 @@ def sink_report(spark, sf_dir):
 @query
 def normalize_pairs(spark, sf_dir):
     raw = V.pairs(spark, sf_dir).withColumnRenamed("id", "ord")
-    return clean.normalize_pairs(raw, "darija", "en")
+    return clean.normalize_pairs(raw, "dialect", "english")
 
 
 @query

@@ -25,21 +25,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn with the assistant turn that follows it, as ``id, darija, en``."""
+    """Each user turn with the assistant turn that follows it, as ``id, dialect, english``."""
     turns = scan_table(spark, f"{sf_dir}/conversations.parquet", CONVERSATIONS)
     asked = turns.filter("role = 'user'").select(
-        "conv_id", "turn", (F.col("conv_id") * TURNS + F.col("turn")).alias("id"), F.col("text").alias("darija")
+        "conv_id", "turn", (F.col("conv_id") * TURNS + F.col("turn")).alias("id"), F.col("text").alias("dialect")
     )
     answered = turns.filter("role = 'assistant'").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("en")
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("english")
     )
-    return asked.join(answered, ["conv_id", "turn"]).select("id", "darija", "en")
+    return asked.join(answered, ["conv_id", "turn"]).select("id", "dialect", "english")
 
 
 def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`pairs` as ``ord, src, tgt``, stripped and non-empty."""
     raw = pairs(spark, sf_dir).withColumnRenamed("id", "ord")
-    return normalize_pairs(nonempty_pairs(raw, "darija", "en"), "darija", "en")
+    return normalize_pairs(nonempty_pairs(raw, "dialect", "english"), "dialect", "english")
 
 
 def raw_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
