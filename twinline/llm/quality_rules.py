@@ -77,17 +77,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     frame = frame.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     frame = repeated_words(F.col("_words"), frame)
     words, lines, t = F.col("_words"), F.col("_lines"), F.col("_text")
-    frame = (
-        frame.withColumn("q_words", F.size(words).cast("long"))
-        .withColumn("q_word_chars", F.length(F.array_join(words, "")).cast("long"))
-        .withColumn("q_symbols", F.regexp_count(t, F.lit(SYMBOLS)).cast("long"))
-        .withColumn("q_marks", F.regexp_count(t, F.lit(MARKS)).cast("long"))
-        .withColumn("q_lines", F.size(lines).cast("long"))
-        .withColumn("q_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
-        .withColumn("q_repeat_words", F.col("n_repeat_words"))
-        .withColumn("q_stops", F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"))
-    )
-    return frame.drop("_text", "_words", "_lines", "n_repeat_words")
+    measures = {
+        "q_words": F.size(words),
+        "q_word_chars": F.length(F.array_join(words, "")),
+        "q_symbols": F.regexp_count(t, F.lit(SYMBOLS)),
+        "q_marks": F.regexp_count(t, F.lit(MARKS)),
+        "q_lines": F.size(lines),
+        "q_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "q_repeat_words": F.col("n_repeat_words"),
+        "q_stops": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+    }
+    # A filter on the verdict would be pushed down with copies of every expression: a generator stops it.
+    row = F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])
+    return frame.select(*docs.columns, F.inline(F.array(row)))
 
 
 def ratios() -> dict[str, Column]:
