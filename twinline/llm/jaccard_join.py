@@ -1,9 +1,10 @@
 """N-gram Jaccard join: a prefix-tree join on globally ordered shingle sets.
 
-Two sets with 9 x overlap >= 4 x (sum of sizes), which is a Jaccard similarity of 0.8, share one of the first
-``n - ceil(0.8 n) + 1`` shingles in any order that all sets follow. Here rare shingles come first, as
+Two sets with 9 x overlap >= 4 x (sum of sizes), which is a Jaccard similarity of 0.8, share at least
+``k`` of the first ``n - ceil(0.8 n) + k`` shingles in any order that all sets follow; ``k`` is 6 % of the smaller set. Here rare shingles come first, as
 told by a table of hashed counts of fixed size; then a passage that very many documents share falls behind
-the prefixes. Sets that share a prefix shingle are candidates; only their sets are moved.
+the prefixes. Sets that share too few
+prefix shingles with all others link with none; only the sets of the rest are moved.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm.graph import components
@@ -33,8 +34,18 @@ def linked(overlap, a, b):
     return 9 * overlap >= 4 * (a + b)
 
 
+def least_shared(n):
+    """Prefix tokens that a set of ``n`` has in common with any larger set it links with."""
+    return np.maximum(1, 6 * n // 100)
+
+
 def prefix_size(n):
-    return n - (4 * n + 4) // 5 + 1
+    """``n - ceil(0.8 n)`` and as many tokens as must be shared."""
+    return n - (4 * n + 4) // 5 + least_shared(n)
+
+
+def _least(n: str) -> Column:
+    return F.expr(f"greatest(1, 6 * {n} div 100)")
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -371,8 +382,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tokens = shared_tokens(sets)
     sized = tokens.selectExpr("*", "count(*) over (partition by token) as g")
     entries, entries_path = store(sized, "entries")
-    home = entries.groupBy("sid", "n").agg(F.max(F.struct("g", "token")).alias("h"))
-    home = home.select("sid", "n", F.col("h.token").alias("token"), F.col("h.g").alias("g"))
+    # A partner is the smaller set of a link, or the larger; the smaller has 0.8 of the larger's shingles or more.
+    fewest = F.expr("greatest(1, 6 * ((4 * n + 4) div 5) div 100)")
+    home = entries.groupBy("sid", "n").agg(F.count("*").alias("c"), F.max(F.struct("g", "token")).alias("h"))
+    home = home.filter(F.col("c") >= fewest)
+    home = home.select("sid", F.col("h.token").alias("token"), F.col("h.g").alias("g"))
+    home, home_path = store(home, "homes")
     reps = sets.groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep"))
     # A set is read from one of the rows that have it: the smallest id's.
     wanted = reps.join(home.select("sid"), "sid")
@@ -389,7 +404,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     second, second_path = store(_block_links(few.withColumn("salt", again), ["token", "salt"]), "links")
     links = first.unionByName(second)
 
-    labelled, labelled_path = store(_rooted(entries, links), "entries")
+    open_entries = entries.join(home.select(F.col("sid").alias("_sid")), F.col("sid") == F.col("_sid"), "left_semi")
+    labelled, labelled_path = store(_rooted(open_entries, links), "entries")
     third, third_path = store(_remaining_links(labelled, found), "links")
     links = links.unionByName(third)
     roots = components(links)
@@ -406,7 +422,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     result, _ = store(out, "components")
-    for path in (sets_path, entries_path, found_path, first_path, second_path, labelled_path, third_path):
+    for path in (sets_path, entries_path, home_path, found_path, first_path, second_path, labelled_path, third_path):
         discard(spark, path)
     return result
 
@@ -422,9 +438,10 @@ def _remaining_links(labelled: DataFrame, found: DataFrame) -> DataFrame:
     near = 5 * F.col("nb") >= 4 * F.col("na")
     pairs = a.join(b, (F.col("token") == F.col("tb")) & (F.col("ca") != F.col("cb")) & sided & near)
     counted = pairs.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("shared"))
-    rest = lambda n: F.floor(4 * F.col(n) / 5 + F.lit(0.9)) - 1  # noqa: E731  what lies behind the prefix
+    rest = lambda n: F.expr(f"(4 * {n} + 4) div 5") - _least(n)  # noqa: E731  what lies behind the prefix
     bound = F.col("shared") + F.greatest(rest("na"), rest("nb"))
-    open_pairs = counted.filter(9 * bound >= 4 * (F.col("na") + F.col("nb")))
+    possible = (F.col("shared") >= _least("nb")) & (9 * bound >= 4 * (F.col("na") + F.col("nb")))
+    open_pairs = counted.filter(possible)
     numbered = open_pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     per = numbered.groupBy("a").agg(F.count("*").alias("_k")).withColumnRenamed("a", "_a")
     spread = numbered.join(per, F.col("a") == F.col("_a")).withColumn("salt", F.pmod("salt", F.ceil(F.col("_k") / BLOCK)))
