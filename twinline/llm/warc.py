@@ -124,7 +124,7 @@ def write_warc(
     sorted_rows = (
         placed.select(shard.alias("shard"), "page_id", "digest", "refers_to", "url", "html")
         .repartitionByRange(count, "shard")
-        .sortWithinPartitions(F.col("shard"), F.col("page_id"), F.col("digest"), F.col("html").isNotNull())
+        .sortWithinPartitions(F.col("shard"), F.col("page_id"), F.col("digest"), F.col("html").isNotNull(), F.col("url"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
