@@ -49,24 +49,21 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
-    """Of a diagonal's matches, the run with the largest (matches - 4 x changes): start, end, matches.
-
-    Ends are trimmed to matches and each kept run has at least four matches a change.
-    """
-    best = (0, 0, 0, 0)
+    """Of a diagonal, the run with most matches and four of them for each change: start, end, matches."""
+    best = (0, 0, 0)
     start, score, matched = 0, 0, 0
     for i, same in enumerate(equal.tolist()):
-        if score < 0 or (score == 0 and matched):
+        if score < 0:
             start, score, matched = i, 0, 0
         if same:
             score, matched = score + 1, matched + 1
             if matched > best[2]:
-                best = (start, i + 1, matched, score)
+                best = (start, i + 1, matched)
         else:
             score -= 4
             if not matched:
                 start, score = i + 1, 0
-    return best[0], best[1], best[2]
+    return best
 
 
 class Benchmark:
