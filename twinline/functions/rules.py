@@ -116,7 +116,7 @@ def first_failing_rule(
     noise = has_noise(src, src_low) | has_noise(tgt, tgt_low)
     marker = has_marker(src, rules.markers, src_low) | has_marker(tgt, rules.markers, tgt_low)
     return (
-        F.when(~long_enough, SHORT)
+        F.when(~F.coalesce(long_enough, F.lit(False)), SHORT)  # a null side is short
         .when(has_mixed_digits(tgt, rules.digits), MIXED_DIGITS)
         .when(noise, NOISE)
         .when(marker, MARKER)

@@ -50,8 +50,9 @@ def _first_copies(df: DataFrame, *aggs: Column) -> DataFrame:
 def dedup_pairs(df: DataFrame) -> DataFrame:
     """The first copy (lowest ``ord``) of each lower-cased pair, in its own case.
 
-    ``ord`` must be unique. Adds ``n_copies``.
+    ``ord`` must be unique. Adds ``n_copies``. Pairs with a null or empty side are dropped first.
     """
+    df = nonempty_pairs(df)
     first = _first_copies(_with_lower(df)).select("ord", "n_copies")
     return df.join(first, "ord")
 
@@ -69,8 +70,10 @@ def _tagged(df: DataFrame, rules: RuleSet) -> DataFrame:
 def clean_pairs(df: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     """De-duplicate, then keep the survivors that pass every rule.
 
-    A survivor's text is the row's own, so rows that fail are dropped before the join.
+    A survivor's text is the row's own, so rows that fail are dropped before the join. Pairs with a null or
+    empty side are no pairs.
     """
+    df = nonempty_pairs(df)
     passing = tag_pairs(df, rules).filter(F.col("rule") == KEPT).drop("rule")
     return passing.join(_first_copies(_with_lower(df)).select("ord"), "ord", "left_semi")
 
@@ -78,8 +81,9 @@ def clean_pairs(df: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
 def cleaning_funnel(df: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     """Pairs removed and left at each step, with shares of the original count.
 
-    Step 0 is the input, step 1 the duplicates, then one step per rule, and last the total.
+    Step 0 is the input with text on both sides, step 1 the duplicates, then one step per rule, and last the total.
     """
+    df = nonempty_pairs(df)
     survivors = _first_copies(_tagged(df, rules), F.min_by("rule", "ord").alias("rule"))
     counts = survivors.agg(
         F.coalesce(F.sum("n_copies"), F.lit(0)).alias("original"),

@@ -15,11 +15,18 @@ def provenance_rollup(pairs: DataFrame) -> DataFrame:
     )
 
 
-def consent_filter(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Pairs whose session did not withhold consent.
+def consent_filter(pairs: DataFrame, sessions: DataFrame, keep_unlogged: bool = True) -> DataFrame:
+    """Pairs whose session gave consent; an unknown consent is none.
+
+    Pairs of sessions outside the log stay only with ``keep_unlogged``.
 
     The list of withheld sessions is broadcast if its counted size allows: one session may
     hold much of the corpus, and its pairs then stay where they are.
     """
-    withheld = sessions.filter(~F.col("consent")).select("session_id").distinct()
+    given = F.coalesce(F.col("consent"), F.lit(False))
+    if not keep_unlogged:
+        # A session logged more than once must have agreed each time.
+        agreed = sessions.groupBy("session_id").agg(F.every(given).alias("_all")).filter("_all").select("session_id")
+        return pairs.join(small_side(agreed, "agreed"), "session_id", "left_semi")
+    withheld = sessions.filter(~given).select("session_id").distinct()
     return pairs.join(small_side(withheld, "withheld"), "session_id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinline.functions.text import is_filled
+from twinline.functions.text import is_filled, strip
 from twinline.session import small_side
 
 # Rows taken from each category, in order of position.
@@ -15,7 +15,8 @@ SPLIT_SIZE = sum(n for _, n in PER_CATEGORY)
 
 def _usable(df: DataFrame) -> DataFrame:
     filled = [is_filled(F.col(c)) for c in ("category", "src", "tgt")]
-    return df.filter(filled[0] & filled[1] & filled[2])
+    # The category of a group has no white space at its ends.
+    return df.filter(filled[0] & filled[1] & filled[2]).withColumn("category", strip(F.col("category")))
 
 
 def _label(position: Column) -> Column:
@@ -51,7 +52,7 @@ def stratified_split(df: DataFrame) -> DataFrame:
     few winners fetch their text by ``ord``, unique in the table, so no other text moves.
     """
     heads = small_side(split_positions(df), "heads")
-    return df.join(heads, "ord").select("split", "category", "position", "ord", "src", "tgt")
+    return df.join(heads, "ord").select("split", strip(F.col("category")).alias("category"), "position", "ord", "src", "tgt")
 
 
 def category_report(df: DataFrame) -> DataFrame:

@@ -13,10 +13,12 @@ _fallback: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named."""
-    named = spark.conf.get(_CHECKPOINT_CONF, None)
+    """The shared folder the cluster names; a local one only in local mode, where there is one machine."""
+    named = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError(f"{_CHECKPOINT_CONF} must name a folder that all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = tempfile.mkdtemp(prefix="twinline-")
     return _fallback["dir"]
@@ -51,10 +53,13 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_side(df: DataFrame, label: str, max_rows: int = 1_000_000) -> DataFrame:
-    """``df`` computed once, and marked for broadcast if it has at most ``max_rows`` rows.
+def small_side(df: DataFrame, label: str, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` computed once, and marked for broadcast if its values have at most ``max_bytes``.
 
-    For keys of a few bytes. A longer table is left to a shuffled join.
+    Strings count by their bytes, other values as eight. A larger table is left to a shuffled join.
     """
     stored = materialize(df, label)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    kinds = dict(stored.dtypes)
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if k == "string" else F.lit(8) for c, k in kinds.items()), F.lit(0))
+    size = stored.agg(F.sum(width.cast("long")).alias("size")).first()["size"] or 0
+    return F.broadcast(stored) if size <= max_bytes else stored

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from twinline.functions.text import is_filled, strip
 
 _BAD = "_bad"
-SPLIT_BYTES = 128 << 20  # what a scan task reads by default
 
 # A quote inside a field is doubled; fields may hold line ends; nothing is trimmed.
 CSV_FORMAT = {
@@ -28,19 +27,6 @@ def scan_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a table that lies in fewer splits than there are cores.
-
-    A file of one row group is one task, however many cores wait. Tables large enough to keep
-    every core busy are returned as they are, so nothing large is shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores, key)
-
-
 def string_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
@@ -48,22 +34,30 @@ def string_schema(columns: list[str]) -> T.StructType:
 def scan_csv(
     spark: SparkSession, path: str, columns: list[str], partitions: tuple[str, ...] = (), **options: str
 ) -> DataFrame:
-    """Headered CSV scan. Every cell is a string; malformed rows carry ``_bad``.
+    """Headered CSV scan of ``columns`` by name. Every cell is a string; malformed rows carry ``_bad``.
 
-    ``partitions`` names columns that come from folder names.
+    The header of the first file gives the order; a file with another header, or a column that the header
+    lacks, is an error. ``partitions`` names columns that come from folder names.
     """
-    schema = string_schema([*columns, _BAD, *partitions])
+    settings = {**CSV_FORMAT, **options}
+    found = spark.read.options(**settings).option("inferSchema", "false").csv(path).columns
+    header = [c for c in found if c not in partitions]
+    missing = [c for c in columns if c not in header]
+    if missing:
+        raise ValueError(f"the header {header} lacks {missing}")
     scanned = (
-        spark.read.schema(schema)
-        .options(**{**CSV_FORMAT, **options})
+        spark.read.schema(string_schema([*header, _BAD, *partitions]))
+        .options(**settings)
         .option("mode", "PERMISSIVE")
+        .option("enforceSchema", "false")
         .option("columnNameOfCorruptRecord", _BAD)
         # Column pruning in the CSV parser would hide rows with surplus fields.
         .option("columnPruning", "false")
         .csv(path)
     )
     # Always true: Spark refuses a query, such as a count, that uses no field but ``_bad``.
-    return scanned.filter(F.coalesce(F.length(columns[0]), F.lit(0)) >= 0)
+    whole = scanned.filter(F.coalesce(F.length(header[0]), F.lit(0)) >= 0)
+    return whole.select(*columns, _BAD, *partitions)
 
 
 def read_pairs_csv(
@@ -85,3 +79,16 @@ def quarantine(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = scanned.filter(F.col(_BAD).isNull()).drop(_BAD)
     bad = scanned.filter(F.col(_BAD).isNotNull()).withColumnRenamed(_BAD, "raw")
     return good, bad
+
+
+def malformed_counts(scanned: DataFrame) -> DataFrame:
+    """Rows of a CSV scan by ``reason``: well formed, too few fields, too many, or empty."""
+    named = [c for c in scanned.columns if c != _BAD]
+    filled = sum((F.col(c).isNotNull().cast("int") for c in named), F.lit(0))
+    reason = (
+        F.when(F.col(_BAD).isNull(), "well formed")
+        .when(F.trim(_BAD) == "", "empty")
+        .when(filled == len(named), "too many fields")
+        .otherwise("too few fields")
+    )
+    return scanned.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_rows"))
