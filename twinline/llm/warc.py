@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BINS = 65_536  # equal id ranges whose sizes fix the shards: bounds what is collected and broadcast
+_READ = 16 << 10
 LEAST_REVISIT = 100  # bytes; smaller payloads are always written
 DATE = "2024-01-01T00:00:00Z"
 
@@ -192,10 +193,16 @@ def _files(rows: list[tuple]) -> pa.RecordBatch:
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each gzip member."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a record is cut off")
+            piece = view[at : at + _READ]  # what is left over of a piece is all that is copied
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
