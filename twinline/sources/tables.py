@@ -37,11 +37,13 @@ def scan_csv(
     """Headered CSV scan of ``columns`` by name. Every cell is a string; malformed rows carry ``_bad``.
 
     The header of the first file gives the order; a file with another header, or a column that the header
-    lacks, is an error. ``partitions`` names columns that come from folder names.
+    lacks, is an error. Without a header ``columns`` is the order. ``partitions`` names columns that come from folder names.
     """
     settings = {**CSV_FORMAT, **options}
-    found = spark.read.options(**settings).option("inferSchema", "false").csv(path).columns
-    header = [c for c in found if c not in partitions]
+    header = list(columns)
+    if str(settings["header"]).lower() == "true":
+        found = spark.read.options(**settings).option("inferSchema", "false").csv(path).columns
+        header = [c for c in found if c not in partitions]
     missing = [c for c in columns if c not in header]
     if missing:
         raise ValueError(f"the header {header} lacks {missing}")
