@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,12 @@ def scan_csv(
     settings = {**CSV_FORMAT, **options}
     header = list(columns)
     if str(settings["header"]).lower() == "true":
-        found = spark.read.options(**settings).option("inferSchema", "false").csv(path).columns
+        try:
+            found = spark.read.options(**settings).option("inferSchema", "false").csv(path).columns
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            found = header  # a folder without any file has no rows
         header = [c for c in found if c not in partitions]
     missing = [c for c in columns if c not in header]
     if missing:
