@@ -52,3 +52,21 @@ def test_broadcast_is_decided_by_bytes(spark):
     df = spark.createDataFrame([("x" * 1000,)] * 10, "k string")
     plan = lambda x: x._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(session.small_side(df, "t", 20_000)) and "broadcast" not in plan(session.small_side(df, "t", 2_000))
+
+
+def test_feed_holds_no_held_out_pair(spark):
+    from pyspark.sql import functions as F
+
+    from twinline.operators import split
+    from twinline.plans import queries as named
+    from twinline.plans import views as V
+
+    sf_dir = "/root/testdata/sf0.001"
+    splits = split.stratified_split(V.category_pairs(spark, sf_dir))
+    held = splits.filter("split <> 'train'").select(F.lower("src").alias("s"), F.lower("tgt").alias("t"), "ord")
+    feed = named._feed_sources(spark, sf_dir)
+    assert held.count() > 0
+    assert feed.filter("source = 'base'").join(held, "ord").count() == 0
+    assert feed.filter("source = 'field'").join(held, "ord").count() == 0
+    low = feed.filter("source = 'base'").select(F.lower("src").alias("s"), F.lower("tgt").alias("t"))
+    assert low.join(held, ["s", "t"]).count() == 0

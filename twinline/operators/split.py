@@ -28,7 +28,7 @@ def _label(position: Column) -> Column:
 
 
 def split_positions(df: DataFrame) -> DataFrame:
-    """``ord, position, split`` of the rows a split takes.
+    """``ord, category, position, split`` of the rows a split takes.
 
     Only (category, ord) is ranked, and the group limit keeps ten rows per category and
     task before the shuffle, however large a category is.
@@ -41,7 +41,7 @@ def split_positions(df: DataFrame) -> DataFrame:
         .filter(F.col("position") <= SPLIT_SIZE)
         .withColumn("_n", F.count("*").over(Window.partitionBy("category")))
         .filter(F.col("_n") == SPLIT_SIZE)
-        .select("ord", "position", _label(F.col("position")).alias("split"))
+        .select("ord", "category", "position", _label(F.col("position")).alias("split"))
     )
 
 
@@ -51,7 +51,7 @@ def stratified_split(df: DataFrame) -> DataFrame:
     Categories with fewer rows are left out whole; rows past the tenth are unused. The
     few winners fetch their text by ``ord``, unique in the table, so no other text moves.
     """
-    heads = small_side(split_positions(df), "heads")
+    heads = small_side(split_positions(df).drop("category"), "heads")
     return df.join(heads, "ord").select("split", strip(F.col("category")).alias("category"), "position", "ord", "src", "tgt")
 
 
@@ -73,9 +73,9 @@ def skipped_categories(df: DataFrame) -> DataFrame:
 
 
 def split_report(df: DataFrame) -> DataFrame:
-    """Pairs and categories of each split."""
+    """Pairs and categories of each split, from the ranked positions alone."""
     return (
-        stratified_split(df)
+        split_positions(df)
         .groupBy("split")
         .agg(F.count("*").alias("n_pairs"), F.count_distinct("category").alias("n_categories"))
     )

@@ -51,7 +51,7 @@ def _quoted(c: str) -> str:
 
 _LINE = "strpos(text, chr(10))"
 _PAIRS = f"""pairs AS (
-  SELECT u.conv_id * {V.TURNS} + u.turn AS id, u.text AS dialect, a.text AS english
+  SELECT u.conv_id * (SELECT max(turn) + 1 FROM conversations) + u.turn AS id, u.text AS dialect, a.text AS english
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 _CHAT = f"""chat AS (
@@ -130,16 +130,24 @@ splits AS (
 _SOURCES = f"""{_PAIRS}, {_CHAT}, {_DOCS}, sources AS (
   SELECT 'field' AS source, ord, src, tgt FROM chat UNION ALL
   SELECT 'base', ord, src, tgt FROM docs)"""
-_MIX = f"""{_SOURCES}, mixed AS (
-  SELECT s.source, s.ord, s.src, CAST(c.copy AS INTEGER) AS copy
+_COPIES = f"""mixed AS (
+  SELECT s.source, s.ord, s.src, s.tgt, CAST(c.copy AS INTEGER) AS copy
   FROM sources s JOIN (SELECT unnest(range(1, {max(named.WEIGHTS.values()) + 1})) AS copy) c
     ON c.copy <= CASE s.source WHEN 'field' THEN {named.WEIGHTS['field']} ELSE {named.WEIGHTS['base']} END)"""
-_KEYED = f"""{_MIX}, keyed AS (
+_KEYS = f"""keyed AS (
   SELECT *, md5('{named.SEED}|' || source || '|' || ord || '|' || copy) AS shuffle_key FROM mixed)"""
-
-
-def _batches(size: int) -> str:
-    return f"""{_KEYED}, indexed AS (
+_MIX = f"{_SOURCES}, {_COPIES}"
+_KEYED = f"{_MIX}, {_KEYS}"
+# The feed: the train split, and the clean pairs that are not held out.
+_FEED_KEYED = f"""{_HEADS}, {_FIRST.removeprefix(_DOCS + ', ')}, sources AS (
+  SELECT 'field' AS source, ord, src, tgt FROM splits WHERE split = 'train' UNION ALL
+  SELECT 'base', ord, src, tgt FROM firsts WHERE {_RULE} = 0
+    AND (lower(src), lower(tgt)) NOT IN (SELECT (lower(src), lower(tgt)) FROM splits WHERE split <> 'train')),
+{_COPIES}, {_KEYS}"""
+
+
+def _batches(size: int, keyed: str = _KEYED) -> str:
+    return f"""{keyed}, indexed AS (
   SELECT *, row_number() OVER (ORDER BY shuffle_key, source, ord, copy) - 1 AS i,
     count(*) OVER () // {size} AS n_full FROM keyed),
 batched AS (
@@ -147,10 +155,9 @@ batched AS (
   FROM indexed WHERE i // {size} < n_full)"""
 
 
-_PACK = f"""{_DOCS}, packed AS (
-  SELECT ord, list_concat(b, list_transform(range(0, 32 - len(b)), lambda x: 0)) AS p FROM (
-    SELECT ord, list_concat([2], list_transform({_words('src')}, lambda w: len(w) + 4)[1:30], [3]) AS b
-    FROM docs))"""
+_FRAMED = """framed AS (
+  SELECT source, ord, side, list_concat(b, list_transform(range(0, 32 - len(b)), lambda x: 0)) AS p FROM (
+    SELECT source, ord, side, list_concat([2], ids[1:30], [3]) AS b FROM sides))"""
 
 # Merge learning as recursion: each step counts adjacent pairs and joins the top one.
 _O, _C, _U = "\x01", "\x02", "\x03"
@@ -242,6 +249,12 @@ _PIECES = "list_transform({c}, lambda i: listed[i + 1])"
 _LISTED = "(SELECT list(piece ORDER BY id) AS listed FROM vocab)"
 
 
+def _readable(c: str) -> str:
+    pieces = f"array_to_string({_PIECES.replace('{c}', c)}, '')"
+    marked = f"replace({pieces}, '<UNK>', {_text(subword.UNKNOWN_TEXT)})"
+    return f"regexp_replace(replace({marked}, '{subword.WORD_MARK}', ' '), '^ ', '')"
+
+
 def _tokens_13a(c: str) -> str:
     for found, put in bleu.LITERALS_13A:
         c = f"replace({c}, {_text(found)}, {_text(put)})"
@@ -255,10 +268,6 @@ _SEGS = """segs AS (
   SELECT doc_id AS seg_id, lang AS category, string_split(text, chr(10))[1] AS src, text AS reference,
     array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % (doc_id % 5 + 3) <> 0), ' ') AS hypothesis
   FROM documents)"""
-_ITEMS = """segs AS (
-  SELECT item_id AS seg_id, text AS reference,
-    array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % (item_id % 5 + 3) <> 0), ' ') AS hypothesis
-  FROM benchmark)"""
 _COUNTS = f"""toks AS (
   SELECT seg_id, 1 AS in_hyp, {_tokens_13a('hypothesis')} AS t FROM segs UNION ALL
   SELECT seg_id, 0, {_tokens_13a('reference')} FROM segs),
@@ -287,6 +296,11 @@ def _rule(test: str) -> str:
 def oracle_sql() -> dict[str, str]:
     """Query name -> SQL over the given tables."""
     raw_stack, doc_stack = _STACK.format(t="raw_docs"), _STACK.format(t="docs")
+    feed = f"""WITH RECURSIVE {_batches(named.VAL_BATCH, _FEED_KEYED)},
+        {_encoded('sources').removeprefix(_DOCS + ', ')}, {_FRAMED}
+        SELECT b.batch_id, b.pos, b.source, b.ord, b.copy, {_joined('s.p')} AS src_ids, {_joined('t.p')} AS tgt_ids
+        FROM batched b JOIN framed s ON s.source = b.source AND s.ord = b.ord AND s.side = 'src'
+        JOIN framed t ON t.source = b.source AND t.ord = b.ord AND t.side = 'tgt'"""
     sql = {
         "scan_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
         "write_clean": f"WITH {_FIRST} SELECT src, tgt FROM firsts",
@@ -306,11 +320,12 @@ def oracle_sql() -> dict[str, str]:
         "nonempty_pairs": f"WITH {_RAW} SELECT ord, src, tgt FROM raw_docs WHERE {_filled('src')} AND {_filled('tgt')}",
         "word_counts": f"""WITH {_DOCS} SELECT ord, CAST({_count('src')} AS INTEGER) AS src_words,
             CAST({_count('tgt')} AS INTEGER) AS tgt_words FROM docs""",
-        "pack_sequences": f"WITH {_PACK} SELECT ord, {_joined('p')} AS packed, CAST(len(p) AS INTEGER) AS size FROM packed",
-        "shift_targets": f"""WITH {_PACK} SELECT ord, {_joined('p[1:31]')} AS decoder_input,
-            {_joined('p[2:32]')} AS decoder_target FROM packed""",
-        "padding_mask": f"""WITH {_PACK} SELECT ord,
-            {_joined('list_transform(p, lambda x: CASE WHEN x = 0 THEN 1 ELSE 0 END)')} AS mask FROM packed""",
+        "pack_sequences": f"""WITH RECURSIVE {_encoded('docs')}, {_FRAMED}
+            SELECT ord, side, {_joined('p')} AS packed, CAST(len(p) AS INTEGER) AS size FROM framed""",
+        "shift_targets": f"""WITH RECURSIVE {_encoded('docs')}, {_FRAMED} SELECT ord, {_joined('p[1:31]')} AS decoder_input,
+            {_joined('p[2:32]')} AS decoder_target FROM framed WHERE side = 'tgt'""",
+        "padding_mask": f"""WITH RECURSIVE {_encoded('docs')}, {_FRAMED} SELECT ord, side,
+            {_joined('list_transform(p, lambda x: CASE WHEN x = 0 THEN 1 ELSE 0 END)')} AS mask FROM framed""",
         "nfkc_fold": f"""WITH {_FREQ} SELECT DISTINCT raw, {_fold('raw')} AS folded FROM raw_words WHERE raw <> ''""",
         "rule_min_words": _rule(f"{_count('text')} >= 3"),
         "rule_mixed_digits": _rule(_mixed("text")),
@@ -347,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'test' AS check, count(*) AS n_rows FROM test UNION ALL
             SELECT 'in_train_by_src', count(*) FROM test WHERE lower(src) IN (SELECT s FROM train) UNION ALL
             SELECT 'in_train_by_pair', count(*) FROM test WHERE (lower(src), lower(tgt)) IN (SELECT (s, t) FROM train)""",
-        "weighted_mix": f"WITH {_MIX} SELECT source, ord, src, copy FROM mixed",
+        "weighted_mix": f"WITH {_MIX} SELECT source, ord, src, tgt, copy FROM mixed",
         "mix_report": f"""WITH {_SOURCES}, counted AS (SELECT source, count(*) AS n_pairs,
               CASE source WHEN 'field' THEN {named.WEIGHTS['field']} ELSE {named.WEIGHTS['base']} END AS weight
               FROM sources GROUP BY 1)
@@ -373,10 +388,10 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(len(list_filter(ids, lambda i: i = 1))) AS BIGINT) AS n_unk,
             CAST(sum(len(ids)) AS BIGINT) AS n_tokens FROM sides GROUP BY 1""",
         "decode_pieces": f"""WITH RECURSIVE {_encoded('docs')}
-            SELECT ord, {_joined(_PIECES.replace('{c}', 'tgt_ids'))} AS pieces FROM encoded, {_LISTED}""",
-        "decode_text": f"""WITH RECURSIVE {_encoded('docs')} SELECT ord, regexp_replace(replace(replace(
-            array_to_string({_PIECES.replace('{c}', 'tgt_ids')}, ''), '<UNK>', {_text(subword.UNKNOWN_TEXT)}),
-            '{subword.WORD_MARK}', ' '), '^ ', '') AS decoded FROM encoded, {_LISTED}""",
+            SELECT ord, {_joined(_PIECES.replace('{c}', 'src_ids'))} AS src_pieces,
+            {_joined(_PIECES.replace('{c}', 'tgt_ids'))} AS tgt_pieces FROM encoded, {_LISTED}""",
+        "decode_text": f"""WITH RECURSIVE {_encoded('docs')} SELECT ord, {_readable('src_ids')} AS src_text,
+            {_readable('tgt_ids')} AS tgt_text FROM encoded, {_LISTED}""",
         "shared_pieces": f"""WITH RECURSIVE {_encoded('docs')}, both_sides AS (
             SELECT ord, list_sort(list_distinct(list_intersect(src_ids, tgt_ids))) AS ids FROM encoded)
             SELECT ord, {_joined('ids')} AS shared_ids, {_joined(_PIECES.replace('{c}', 'ids'))} AS shared FROM both_sides, {_LISTED}""",
@@ -391,9 +406,13 @@ def oracle_sql() -> dict[str, str]:
             WHERE step % {named.REPORT_EVERY} = 0""",
         "best_checkpoint": f"""WITH {_LOG}, e AS (
               SELECT run, epoch, round(round(avg(loss), 6)) AS loss FROM log GROUP BY 1, 2),
-            best AS (SELECT run, min(loss) AS best_loss FROM e GROUP BY 1)
-            SELECT run, CAST(min(epoch) AS INTEGER) AS first_epoch, CAST(max(epoch) AS INTEGER) AS last_epoch, best_loss
-            FROM e JOIN best USING (run) WHERE loss = best_loss GROUP BY run, best_loss""",
+            b AS (SELECT run, epoch, batch, avg(loss) AS loss FROM log GROUP BY ALL),
+            v AS (SELECT run, epoch, round(round(avg(loss), 6)) AS loss FROM b GROUP BY 1, 2),
+            first AS (SELECT run, CAST(min(epoch) AS INTEGER) AS first_epoch, loss AS best_loss FROM e
+              WHERE (run, loss) IN (SELECT (run, min(loss)) FROM e GROUP BY run) GROUP BY run, loss),
+            last AS (SELECT run, CAST(max(epoch) AS INTEGER) AS last_epoch, loss AS best_val_loss FROM v
+              WHERE (run, loss) IN (SELECT (run, min(loss)) FROM v GROUP BY run) GROUP BY run, loss)
+            SELECT run, first_epoch, best_loss, last_epoch, best_val_loss FROM first JOIN last USING (run)""",
         "latest_checkpoint": f"""WITH {_LOG} SELECT run, CAST(max(epoch) AS INTEGER) AS resume_epoch FROM log
             WHERE epoch BETWEEN 1 AND 20 GROUP BY 1""",
         "provenance_rollup": f"""WITH {_DOCS} SELECT category, source, CAST(GROUPING(category, source) AS INTEGER) AS level,
@@ -401,12 +420,19 @@ def oracle_sql() -> dict[str, str]:
         "consent_filter": f"""WITH {_DOCS} SELECT source AS session_id, ord, category, src, tgt FROM docs
             WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) GROUP BY 1
               HAVING avg(toxic) > {V.WITHHELD_ABOVE})""",
-        "finetune_feed": f"""WITH RECURSIVE {_batches(named.VAL_BATCH)}, {_feed()}
-            SELECT b.batch_id, b.pos, b.source, b.ord, b.copy, {_joined('s.p')} AS src_ids, {_joined('t.p')} AS tgt_ids
-            FROM batched b JOIN framed s ON s.source = b.source AND s.ord = b.ord AND s.side = 'src'
-            JOIN framed t ON t.source = b.source AND t.ord = b.ord AND t.side = 'tgt'""",
+        "finetune_feed": feed,
+        "write_feed": feed,
+        "validation_feed": f"""WITH RECURSIVE {_HEADS}, val AS (
+              SELECT *, 'val' AS source, row_number() OVER (ORDER BY ord) - 1 AS i FROM splits WHERE split = 'val'),
+            {_encoded('val').removeprefix(_DOCS + ', ')}, {_FRAMED}
+            SELECT v.i // {named.VAL_BATCH} AS batch_id, CAST(v.i % {named.VAL_BATCH} AS INTEGER) AS pos, v.ord,
+              {_joined('s.p')} AS src_ids, {_joined('t.p')} AS tgt_ids
+            FROM val v JOIN framed s ON s.ord = v.ord AND s.side = 'src'
+            JOIN framed t ON t.ord = v.ord AND t.side = 'tgt'""",
         "bleu_tokenize": f"SELECT doc_id, {_joined(_tokens_13a('text'))} AS tokens FROM documents",
-        "ngram_counts": f"WITH {_ITEMS}, {_COUNTS} SELECT seg_id, n, gram, hyp_count, ref_count FROM grams",
+        "ngram_counts": f"""WITH {_SEGS}, {_COUNTS} SELECT seg_id, n, count(*) AS n_grams,
+            CAST(sum(hyp_count) AS BIGINT) AS hyp_count, CAST(sum(ref_count) AS BIGINT) AS ref_count,
+            max(ref_count) AS most FROM grams GROUP BY 1, 2""",
         "clipped_matches": f"WITH {_GRAMS} SELECT * FROM clipped",
         "bleu_corpus": _bleu(),
         "eval_table": f"WITH {_SEGS} SELECT seg_id, category, src, reference, hypothesis FROM segs ORDER BY seg_id",
@@ -414,17 +440,6 @@ def oracle_sql() -> dict[str, str]:
     return sql
 
 
-def _feed() -> str:
-    more = f"""more_words AS (
-      SELECT unnest(string_split_regex(text, '[ \\t\\n\\f\\r]+')) AS raw FROM {_STACK.format(t='chat')}),
-    to_segment AS (SELECT word, freq FROM words UNION ALL SELECT DISTINCT {_fold('raw')}, 0 FROM more_words
-      WHERE raw <> '' AND {_fold('raw')} NOT IN (SELECT word FROM words))"""
-    encoded = _encoded("sources").removeprefix(_DOCS + ", ").replace(_LEARN_WORDS, more)
-    return f"""{encoded}, framed AS (
-      SELECT source, ord, side, list_concat(b, list_transform(range(0, 32 - len(b)), lambda x: 0)) AS p FROM (
-        SELECT source, ord, side, list_concat([2], ids[1:30], [3]) AS b FROM sides))"""
-
-
 def _funnel() -> str:
     names = ["duplicate", *R.RULE_NAMES.values()]
     steps = [f"SELECT 0 AS step, 'original' AS rule, 0 AS removed, original AS remaining FROM c"]

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from twinline.functions import rules as R
 from twinline.functions import sequences as Q
-from twinline.functions.text import words
 from twinline.operators import bleu, clean, encoding, losses, mix, profile, provenance, split, subword
 from twinline.plans import views as V
 from twinline.session import materialize, scratch_path
@@ -154,23 +153,23 @@ def word_counts(spark, sf_dir):
     return profile.word_counts(V.doc_pairs(spark, sf_dir))
 
 
-def _word_length_ids(spark, sf_dir) -> DataFrame:
-    # Ids that any engine can derive: 4 + the length of each word of the first line.
-    src = V.doc_pairs(spark, sf_dir)
-    return src.select("ord", F.transform(words(F.col("src")), lambda w: F.length(w) + 4).alias("ids"))
+def _packed_sides(spark, sf_dir) -> DataFrame:
+    sides = [
+        F.struct(F.lit(s).alias("side"), Q.pack(F.col(f"{s}_ids")).alias("packed")) for s in ("src", "tgt")
+    ]
+    return _encoded(spark, sf_dir).select("ord", F.inline(F.array(*sides)))
 
 
 @query
 def pack_sequences(spark, sf_dir):
-    packed = Q.pack(F.col("ids"))
-    return _word_length_ids(spark, sf_dir).select(
-        "ord", _joined(packed).alias("packed"), F.size(packed).alias("size")
+    return _packed_sides(spark, sf_dir).select(
+        "ord", "side", _joined("packed").alias("packed"), F.size("packed").alias("size")
     )
 
 
 @query
 def shift_targets(spark, sf_dir):
-    packed = _word_length_ids(spark, sf_dir).select("ord", Q.pack(F.col("ids")).alias("packed"))
+    packed = _encoded(spark, sf_dir).select("ord", Q.pack(F.col("tgt_ids")).alias("packed"))
     return packed.select(
         "ord",
         _joined(Q.decoder_input(F.col("packed"))).alias("decoder_input"),
@@ -180,9 +179,8 @@ def shift_targets(spark, sf_dir):
 
 @query
 def padding_mask(spark, sf_dir):
-    packed = _word_length_ids(spark, sf_dir).select("ord", Q.pack(F.col("ids")).alias("packed"))
     mask = Q.padding_mask(F.col("packed"))
-    return packed.select("ord", _joined(F.transform(mask, lambda m: m.cast("int"))).alias("mask"))
+    return _packed_sides(spark, sf_dir).select("ord", "side", _joined(F.transform(mask, lambda m: m.cast("int"))).alias("mask"))
 
 
 @query
@@ -294,7 +292,7 @@ def _sources(spark, sf_dir, *columns: str) -> DataFrame:
 
 @query
 def weighted_mix(spark, sf_dir):
-    return mix.weighted_mix(_sources(spark, sf_dir, "src"), WEIGHTS)
+    return mix.weighted_mix(_sources(spark, sf_dir, "src", "tgt"), WEIGHTS)
 
 
 @query
@@ -375,14 +373,16 @@ def unk_rate(spark, sf_dir):
 @query
 def decode_pieces(spark, sf_dir):
     vocab = model(spark, sf_dir).vocab_frame(spark)
-    decoded = encoding.decode_pieces(_encoded(spark, sf_dir), vocab, "tgt_ids")
-    return decoded.select("ord", _joined("pieces").alias("pieces"))
+    decoded = encoding.decode_pieces(_encoded(spark, sf_dir), vocab, "src_ids", "src_pieces")
+    decoded = encoding.decode_pieces(decoded, vocab, "tgt_ids", "tgt_pieces")
+    return decoded.select("ord", _joined("src_pieces").alias("src_pieces"), _joined("tgt_pieces").alias("tgt_pieces"))
 
 
 @query
 def decode_text(spark, sf_dir):
     vocab = model(spark, sf_dir).vocab_frame(spark)
-    return encoding.decode_text(_encoded(spark, sf_dir), vocab, "tgt_ids").select("ord", "decoded")
+    decoded = encoding.decode_text(_encoded(spark, sf_dir), vocab, "src_ids", "src_text")
+    return encoding.decode_text(decoded, vocab, "tgt_ids", "tgt_text").select("ord", "src_text", "tgt_text")
 
 
 @query
@@ -392,20 +392,52 @@ def shared_pieces(spark, sf_dir):
     return shared.select("ord", _joined("shared_ids").alias("shared_ids"), _joined("shared").alias("shared"))
 
 
+def _packed(pairs: DataFrame, learned: subword.SubwordModel, *keys: str) -> DataFrame:
+    return encoding.encode_pairs(pairs, learned).select(
+        *keys, Q.pack(F.col("src_ids")).alias("src_ids"), Q.pack(F.col("tgt_ids")).alias("tgt_ids")
+    )
+
+
+def _feed_sources(spark, sf_dir) -> DataFrame:
+    """The train split, and the clean corpus without any pair that is held out."""
+    splits = materialize(split.stratified_split(V.category_pairs(spark, sf_dir)), "splits")
+    key = clean.pair_key(F.lower("src"), F.lower("tgt")).alias("_key")
+    held_out = splits.filter("split <> 'train'").select(key)
+    corpus = clean.clean_pairs(V.doc_pairs(spark, sf_dir)).select("*", key)
+    named = {"field": splits.filter("split = 'train'"), "base": corpus.join(held_out, "_key", "left_anti")}
+    return mix.stack_sources(named, ["ord", "src", "tgt"])
+
+
 @query
 def finetune_feed(spark, sf_dir):
     """Encode, pack, then mix, shuffle and batch: texts are encoded before they are repeated."""
-    sources = _sources(spark, sf_dir, "src", "tgt")
-    packed = encoding.encode_pairs(sources, model(spark, sf_dir)).select(
-        "source", "ord", Q.pack(F.col("src_ids")).alias("src_ids"), Q.pack(F.col("tgt_ids")).alias("tgt_ids")
-    )
-    feed = mix.assign_batches(mix.weighted_mix(sources.select("source", "ord"), WEIGHTS), VAL_BATCH, seed=SEED)
+    learned = model(spark, sf_dir)
+    packed = materialize(_packed(_feed_sources(spark, sf_dir), learned, "source", "ord"), "packed")
+    feed = mix.assign_batches(mix.weighted_mix(packed.select("source", "ord"), WEIGHTS), VAL_BATCH, seed=SEED)
     return feed.join(packed, ["source", "ord"]).select(
         "batch_id", "pos", "source", "ord", "copy",
         _joined("src_ids").alias("src_ids"), _joined("tgt_ids").alias("tgt_ids"),
     )
 
 
+@query
+def write_feed(spark, sf_dir):
+    """The training feed written by batch, and read back."""
+    path = scratch_path(spark, "feed")
+    feed = finetune_feed(spark, sf_dir)
+    sinks.write_feed(feed, path)
+    return spark.read.schema(feed.schema).parquet(path)
+
+
+@query
+def validation_feed(spark, sf_dir):
+    """The validation split in its own order; the last batch stays, whatever its size."""
+    splits = split.stratified_split(V.category_pairs(spark, sf_dir)).filter("split = 'val'")
+    packed = materialize(_packed(splits, model(spark, sf_dir), "ord"), "packed")
+    feed = mix.assign_batches(packed, VAL_BATCH, order="ord", drop_last=False)
+    return feed.select("batch_id", "pos", "ord", _joined("src_ids").alias("src_ids"), _joined("tgt_ids").alias("tgt_ids"))
+
+
 # Loss logs and provenance
 
 
@@ -429,13 +461,14 @@ def running_loss(spark, sf_dir):
 
 @query
 def best_checkpoint(spark, sf_dir):
-    """Best epochs by a loss rounded to whole units, which makes ties: the first and the last."""
-    epochs = losses.epoch_loss(V.loss_log(spark, sf_dir))
-    epochs = epochs.withColumn("loss", F.round(F.round("avg_loss", 6)))
-    first = losses.best_checkpoint(epochs, "loss")
-    last = losses.best_checkpoint(epochs, "loss", keep_last_tie=True)
+    """Best epochs by a loss rounded to whole units, which makes ties: the first by training loss, the last by validation loss."""
+    log = V.loss_log(spark, sf_dir)
+    trained = losses.epoch_loss(log).withColumn("loss", F.round(F.round("avg_loss", 6)))
+    validated = losses.val_loss(log).withColumn("loss", F.round(F.round("avg_val_loss", 6)))
+    first = losses.best_checkpoint(trained, "loss")
+    last = losses.best_checkpoint(validated, "loss", keep_last_tie=True)
     return first.select("run", F.col("best_epoch").alias("first_epoch"), "best_loss").join(
-        last.select("run", F.col("best_epoch").alias("last_epoch")), "run"
+        last.select("run", F.col("best_epoch").alias("last_epoch"), F.col("best_loss").alias("best_val_loss")), "run"
     )
 
 
@@ -471,9 +504,11 @@ def bleu_tokenize(spark, sf_dir):
 
 @query
 def ngram_counts(spark, sf_dir):
-    """Counts over the benchmark passages: one row per n-gram is much for long documents."""
-    items = V.benchmark_segments(spark, sf_dir)
-    return bleu.ngram_counts(items)
+    """Counts over all documents, summed by segment and order."""
+    return bleu.ngram_counts(_segments(spark, sf_dir)).groupBy("seg_id", "n").agg(
+        F.count("*").alias("n_grams"), F.sum("hyp_count").alias("hyp_count"), F.sum("ref_count").alias("ref_count"),
+        F.max("ref_count").alias("most"),
+    )
 
 
 @query

@@ -12,10 +12,8 @@ from twinline.sources.tables import scan_table
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 LABELS = "doc_id long, quality int, toxic int"
-BENCHMARK = "item_id long, text string"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
-TURNS = 1_000_000  # more turns than any conversation has
 FIRST_DAY = "2024-01-01"
 WITHHELD_ABOVE = 0.12
 
@@ -27,8 +25,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant turn that follows it, as ``id, dialect, english``."""
     turns = scan_table(spark, f"{sf_dir}/conversations.parquet", CONVERSATIONS)
+    # Counted, so that no two turns share an id however long a conversation is.
+    span = turns.agg(F.coalesce(F.max("turn"), F.lit(0)) + 1).scalar()
     asked = turns.filter("role = 'user'").select(
-        "conv_id", "turn", (F.col("conv_id") * TURNS + F.col("turn")).alias("id"), F.col("text").alias("dialect")
+        "conv_id", "turn", (F.col("conv_id") * span + F.col("turn")).alias("id"), F.col("text").alias("dialect")
     )
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("english")
@@ -109,11 +109,3 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("reference"),
     )
 
-
-def benchmark_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thinned benchmark passages against the whole ones."""
-    return scan_table(spark, f"{sf_dir}/benchmark.parquet", BENCHMARK).select(
-        F.col("item_id").alias("seg_id"),
-        _thinned("text", "item_id").alias("hypothesis"),
-        F.col("text").alias("reference"),
-    )

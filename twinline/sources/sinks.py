@@ -41,6 +41,11 @@ def write_corpus(df: DataFrame, path: str, column: str = "text") -> None:
     df.filter(is_filled(F.col(column))).select(column).write.option("lineSep", "\n").text(path)
 
 
+def write_feed(df: DataFrame, path: str) -> None:
+    """Parquet in batch order: the rows of a batch lie together in one file."""
+    df.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "pos").write.parquet(path)
+
+
 def sink_report(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows read back from a CSV folder, its files and their bytes."""
     # Without its content column the binary source lists files and reads none of them.
