@@ -61,7 +61,7 @@ def test_feed_holds_no_held_out_pair(spark):
     from twinline.plans import queries as named
     from twinline.plans import views as V
 
-    sf_dir = "/root/testdata/sf0.001"
+    sf_dir = "/root/testdata/sf0.01"  # the smallest with ten pairs of a category
     splits = split.stratified_split(V.category_pairs(spark, sf_dir))
     held = splits.filter("split <> 'train'").select(F.lower("src").alias("s"), F.lower("tgt").alias("t"), "ord")
     feed = named._feed_sources(spark, sf_dir)
