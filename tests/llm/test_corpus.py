@@ -172,12 +172,44 @@ def test_jaccard_components(spark, monkeypatch):
             texts.append(" ".join(copy).upper() if r.random() < 0.2 else " ".join(copy))
     texts += [" ".join(shared + [r.choice(vocabulary) for _ in range(100)]) for _ in range(20)]
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # blocks, second rounds and spread partners on a small table
+    monkeypatch.setattr(jaccard_join, "FEW", 6)
+    monkeypatch.setattr(jaccard_join, "OPEN_BLOCK", 4)
     table = dict(enumerate(texts))
     docs = spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(4)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs).collect()}
     assert got == brute_components(table)
 
 
+@pytest.mark.parametrize("many", [1, 10**9])
+@pytest.mark.parametrize("left", [None, 25])
+def test_tree_links_join_what_all_pairs_join(monkeypatch, many, left):
+    monkeypatch.setattr(jaccard_join, "MANY", many)
+    r = np.random.default_rng(7)
+    base = np.sort(r.choice(2**50, 60, replace=False))
+    sets = [base[:50].astype(np.uint64)]
+    for _ in range(59):
+        x = base[: r.integers(40, 61)].copy()
+        x[r.choice(len(x), int(r.integers(0, 8)), replace=False)] = r.integers(0, 2**50)
+        sets.append(np.unique(x).astype(np.uint64))
+    own = r.integers(0, 30, len(sets)).tolist()
+
+    def parts(links):
+        root = list(range(len(sets)))
+        for a, b in [*links, *((i, own.index(c)) for i, c in enumerate(own))]:
+            x, y = sorted((root[a], root[b]))
+            root = [x if c == y else c for c in root]
+        return root
+
+    crosses = lambda i, j: left is None or (i < left) != (j < left)
+    want = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if crosses(i, j) and jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
+    ]
+    links, _ = jaccard_join.tree_links(sets, own, left)
+    assert {(max(x), min(x)) for x in links} <= set(want)
+    assert parts(links) == parts(want)
+
+
 def test_jaccard_of_nothing(spark):
     docs = spark.createDataFrame([(None, None), (3, ""), (None, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect() if r.doc_id or r.n_shingles) == [(0, 3), (2, None)]

@@ -9,6 +9,7 @@ prefix shingles with all others link with none; only the sets of the rest are mo
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,10 @@ TABLE_BITS = 18  # of the hashed counts: what the driver and the tasks hold of t
 CLASS_BITS = 5
 BLOOM_BITS = 25
 BLOCK = 256  # sets in one prefix tree
+OPEN_BLOCK = 1024  # sets on either side of a comparison of two blocks
+FEW = 64  # sets of a token whose pairs are counted as rows; beyond, blocks of them meet in trees
+MANY = 16  # sets from which a tree is walked for all of them at once
+_CELLS = 32 << 20  # of the table of tree tokens and sets held at once
 _SLICE = 6 << 20
 
 
@@ -174,30 +179,79 @@ class Tree:
             stack += [(c, overlap) for c in children]
 
 
-def tree_links(sets: list[np.ndarray], own: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+    def walk(self, others: list[np.ndarray], same) -> Iterator[tuple[int, np.ndarray]]:
+        """``(i, links)``: for sets of the tree, which of ``others`` link with them.
+
+        One walk serves all the others: a node adds its tokens to the overlaps of those that can still
+        reach the similarity by the remaining lengths. ``same(i, them)`` tells which of them need no comparison with ``i``.
+        """
+        tokens = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
+        step = max(1, _CELLS // max(1, len(tokens)))
+        for a in range(0, len(others), step):
+            yield from self._walk(tokens, others[a : a + step], a, same)
+
+    def _walk(self, tokens: np.ndarray, others: list[np.ndarray], first: int, same) -> Iterator[tuple[int, np.ndarray]]:
+        size = np.array([len(x) for x in others])
+        of, flat = np.repeat(np.arange(len(others)), size), np.concatenate(others)
+        rank = np.searchsorted(tokens, flat)
+        inside = tokens[np.minimum(rank, len(tokens) - 1)] == flat
+        has = np.zeros((len(tokens), len(others)), np.uint8)
+        has[rank[inside], of[inside]] = 1
+        width = len(tokens) + 1
+        placed, before = of * width + rank, np.cumsum(size) - size
+        stack = [(self.root, np.arange(len(others)), np.zeros(len(others), np.int64))] if self.root else []
+        while stack:
+            (part, end, low, high, here, children), live, overlap = stack.pop()
+            able = 4 * (size[live] + low) <= 9 * np.minimum(size[live], high)
+            if not children and len(here) == 1:
+                able &= ~same(here[0], first + live)
+            live, overlap = live[able], overlap[able]
+            if not len(live):
+                continue
+            left = size[live] - overlap
+            if len(part):
+                at = np.searchsorted(tokens, part)
+                overlap = overlap + has[at[:, None], live].sum(0, dtype=np.int64)
+                left = size[live] - (np.searchsorted(placed, live * width + at[-1], "right") - before[live])
+            able = 9 * (overlap + np.minimum(left, high - end)) >= 4 * (size[live] + low)
+            live, overlap = live[able], overlap[able]
+            for i in here:
+                found = live[linked(overlap, size[live], len(self.sets[i]))]
+                if len(found):
+                    yield i, first + found
+            if len(live):
+                stack += [(c, live, overlap) for c in children]
+
+
+def tree_links(
+    sets: list[np.ndarray], own: list[int] | None = None, left: int | None = None
+) -> tuple[list[tuple[int, int]], list[int]]:
     """Links that join the sets, and each set's local component.
 
     A set is not compared again with a component that it already belongs to: what is left out
-    cannot change the components. ``own`` gives components known before.
+    cannot change the components. ``own`` gives components known before. With ``left``, only the first
+    so many sets meet the others, not each other.
     """
-    parent = list(range(len(sets)))
-    first: dict[int, int] = {}
-    for i, c in enumerate(own or []):
-        parent[i] = first.setdefault(c, i)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    tree, links = Tree(sets), []
-    for i, x in enumerate(sets):
-        for j in tree.probe(x, lambda k, i=i: find(k) == find(i)):
-            if find(i) != find(j):
-                links.append((i, j))
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    return links, [find(i) for i in range(len(sets))]
+    numbers: dict[int, int] = {}
+    label = np.array([numbers.setdefault(c, i) for i, c in enumerate(own or range(len(sets)))], np.int64)
+    links: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        a, b = sorted((label[i], label[j]))
+        if a != b:
+            links.append((i, j))
+            label[label == b] = a
+
+    tree, others = Tree(sets[:left]), 0 if left is None else left
+    if len(sets) < MANY:
+        for i in range(others, len(sets)):
+            for j in tree.probe(sets[i], lambda k, i=i: label[k] == label[i]):
+                join(i, j)
+    elif others < len(sets):
+        for j, found in tree.walk(sets[others:], lambda k, them: label[others + them] == label[k]):
+            for i in others + found:
+                join(int(i), j)
+    return links, label.tolist()
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray) -> DataFrame:
@@ -320,33 +374,40 @@ def candidate_sets(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray,
 
 
 def _block_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Links ``(a, b)`` inside blocks of rows ``(*keys, sid, comp, set)``: one prefix tree a block."""
+    """Links ``(a, b)`` inside blocks of rows ``(*keys, sid, comp, set)``: one prefix tree a block.
+
+    Where rows have a ``side``, those of side 0 meet those of side 1 only, if there are any.
+    """
+    side = F.col("side") if "side" in rows.columns else F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(8 * OPEN_BLOCK + 1000)  # sets that each begin the next make a tree as deep as they are many
         held: list[tuple] = []
         at = None
 
         def close() -> list[tuple[int, int]]:
             sets = [np.frombuffer(r[2], np.uint64) for r in held]
-            return [(held[i][0], held[j][0]) for i, j in tree_links(sets, [r[1] for r in held])[0]]
+            right = sum(r[3] for r in held)
+            left = len(held) - right if right else None
+            return [(held[i][0], held[j][0]) for i, j in tree_links(sets, [r[1] for r in held], left)[0]]
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            names = batch.schema.names
-            columns = [batch.column(c).to_pylist() for c in (*keys, "sid", "comp")]
-            raw = batch.column(names.index("set"))
+            columns = [batch.column(c).to_pylist() for c in (*keys, "sid", "comp", "side")]
+            raw = batch.column(batch.schema.names.index("set"))
             for k, values in enumerate(zip(*columns)):
-                key, (sid, comp) = values[: len(keys)], values[len(keys) :]
+                key, (sid, comp, place) = values[: len(keys)], values[len(keys) :]
                 if key != at and held:
                     out += close()
                     held = []
                 at = key
-                held.append((sid, comp, raw[k].as_py()))
+                held.append((sid, comp, raw[k].as_py(), place))
             yield _links(out)
         if held:
             yield _links(close())
 
-    rows = rows.select(*keys, "sid", "comp", "set").repartition(*keys).sortWithinPartitions(*keys, "sid")
+    rows = rows.select(*keys, "sid", "comp", "set", side.cast("int").alias("side"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "sid")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -373,8 +434,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     2. Home blocks: each candidate set goes to the prefix token that most sets share, in blocks of about
        ``BLOCK``, where a prefix tree finds the links. Blocks of one token meet in a second round by one set
        of each component. This collapses large groups of near copies without their pairs.
-    3. The rest, exactly: sets of *different* components that share prefix tokens. The number of shared prefix tokens
-       bounds the overlap; what the bound leaves is verified with a prefix tree for each set and its partners.
+    3. The rest, exactly: sets of *different* components that share prefix tokens. Tokens of at most ``FEW`` sets give pairs,
+       the number of shared prefix tokens bounds the overlap, and what the bound leaves is verified with a prefix tree for each
+       set and its partners. The sets of a commoner token meet block by block in prefix trees: a token of m such sets
+       moves each of them m / ``OPEN_BLOCK`` times.
     """
     spark = docs.sparkSession
     classes = rarity(hashed_counts(docs, text))
@@ -429,8 +492,28 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def _remaining_links(labelled: DataFrame, found: DataFrame) -> DataFrame:
     """Links between sets of different components, from tokens on which components still meet."""
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select(F.col("token").alias("_t"))
-    open_rows = labelled.join(mixed, F.col("token") == F.col("_t"), "left_semi")
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"))
+    mixed = mixed.filter("x < y").select(F.col("token").alias("_t"), "m")
+    open_rows = labelled.join(mixed, F.col("token") == F.col("_t"))
+    return _counted_links(open_rows.filter(F.col("m") <= FEW), found).unionByName(
+        _blocked_links(open_rows.filter(F.col("m") > FEW), found)
+    )
+
+
+def _blocked_links(open_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Links from tokens of many sets: each block of them meets itself and every other block, in trees, without pairs as rows."""
+    blocks = F.ceil(F.col("m") / OPEN_BLOCK).cast("int")
+    rows = open_rows.select("token", "sid", "comp", blocks.alias("k"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("own"))
+    rows = rows.select("token", "sid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    rows = rows.select(
+        "token", "sid", "comp", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("salt"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+    return _block_links(rows.join(found.select("sid", "set"), "sid"), ["token", "block", "salt"])
+
+
+def _counted_links(open_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Links from tokens of few sets. Pairs that also share a token of many are found there, whatever is counted here."""
     a = open_rows.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     b = open_rows.select(F.col("token").alias("tb"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     # The larger set of a pair, or the larger id, comes first.
