@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -254,6 +256,36 @@ def test_overlaps_survive_changed_words(spark):
     assert all(got[i] == [] for i in range(9, 9 + len(ODD)))
 
 
+def test_overlaps_with_changes_at_every_place():
+    """Every overlap of the rule is found, against all runs of all diagonals, whatever words are changed."""
+    share = Fraction(4, 5)
+    for n in range(1, 21):
+        item = [f"w{i}" for i in range(n)]
+        bench = spaced_seeds.Benchmark([7], [" ".join(item)], share, 13)
+        least = min(13, -(-4 * n // 5))
+        assert bench.least == [least]
+        texts, want = [], []
+        for k in range(5 if n < 16 else 4):
+            for places in itertools.combinations(range(n), k):
+                equal = [i not in places for i in range(n)]
+                runs = [sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 5 * sum(equal[a:b]) >= 4 * (b - a)]
+                texts.append(" ".join(["x", *(w if same else "other" for w, same in zip(item, equal)), "y"]))
+                want.append(max(runs, default=0))
+        found = wordhash.words_of(pa.array(texts, pa.string()))
+        hits = spaced_seeds._verify(bench, found.hashes, found.firsts)
+        assert [hits[i][0]["matched"] if i in hits else 0 for i in range(len(texts))] == [m if m >= least else 0 for m in want]
+
+
+def test_seeds_are_complete():
+    def holds(mask: str, changed: tuple[int, ...], n: int) -> bool:
+        ones = [i for i, c in enumerate(mask) if c == "1"]
+        return any(not any(o + i in changed for i in ones) for o in range(n - len(mask) + 1))
+
+    for least, n, k in ((8, 8, 0), (8, 9, 1), (8, 10, 2), (8, 15, 3), (4, 4, 0), (4, 5, 1)):
+        for changed in itertools.combinations(range(n), k):
+            assert any(holds(m, changed, n) for m in spaced_seeds.MASKS[least]), (least, n, changed)
+
+
 def test_model_is_normalised_and_scores_add_up(spark):
     r = random.Random(4)
     texts = [" ".join(r.choice(["the", "of", "Cat", "dog", f"r{r.randint(0, 99)}"]) for _ in range(r.randint(0, 40))) for _ in range(120)] + [None, "", "new words"]

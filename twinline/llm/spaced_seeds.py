@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,15 @@ from pyspark.sql import types as T
 from twinline.llm.tokens import slices
 from twinline.llm.wordhash import mix, words_of
 
-# Word places that a seed compares (1) or ignores (0). Each of the first three survives changed words
-# that come every 7th, 5th or 6th place; the last ones spread over nine words.
-MASKS = ("111111", "1111011", "1111101", "110110101", "101011011")
-MIN_MATCHED = 13  # words, or all of a shorter item
+# Word places that a seed compares (1) or ignores (0), by the least match that they are complete for: every
+# run with four fifths equal and that many equal words holds one of the seeds. A longer run has a part
+# of 10 to 19 words with four fifths equal, so 2 changes in 10 and 3 in 15 words are the hardest (tested at all places).
+MASKS = {
+    8: ("1101111", "111010011", "1100010111", "1111101", "1110111", "101001111"),
+    4: ("1111", "10111", "11011", "11101"),
+    1: ("1",),
+}
+MIN_MATCHED = 13  # words, or ``MIN_SHARE`` of a shorter item
 MIN_SHARE = 0.8  # of the overlap's words are equal
 BLOCK_BYTES = 8 << 20  # of benchmark text sent to the tasks at once
 _BITS = 22
@@ -48,49 +54,62 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
-def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
-    """Of a diagonal, the run with most matches and four of them for each change: start, end, matches."""
-    best = (0, 0, 0)
-    start, score, matched = 0, 0, 0
-    for i, same in enumerate(equal.tolist()):
-        if score < 0:
-            start, score, matched = i, 0, 0
-        if same:
-            score, matched = score + 1, matched + 1
-            if matched > best[2]:
-                best = (start, i + 1, matched)
-        else:
-            score -= 4
-            if not matched:
-                start, score = i + 1, 0
-    return best
+def best_overlap(equal: np.ndarray, share: Fraction) -> tuple[int, int, int]:
+    """Of a diagonal, the run with most matches that are at least ``share`` of it: start, end, matches.
+
+    Of several the shortest, then the first. No run is lost: each start is taken to its last end.
+    """
+    starts = np.flatnonzero(equal)
+    if not len(starts):
+        return 0, 0, 0
+    place = np.arange(len(equal) + 1)
+    matches = np.concatenate(([0], np.cumsum(equal)))
+    # A run is good if this is no lower at its end than at its start.
+    height = share.denominator * matches - share.numerator * place
+    later = np.maximum.accumulate(height[::-1])[::-1]
+    ends = np.searchsorted(-later, -height[starts], "right") - 1
+    ends = np.maximum.accumulate(np.concatenate(([0], np.where(equal, place[1:], 0))))[ends]
+    matched = matches[ends] - matches[starts]
+    at = np.lexsort((starts, ends - starts, -matched))[0]
+    return int(starts[at]), int(ends[at]), int(matched[at])
+
+
+def least_match(n: int, share: Fraction, least: int) -> int:
+    """Equal words that an overlap with an item of ``n`` words needs."""
+    return min(least, -(-n * share.numerator // share.denominator))
 
 
 class Benchmark:
     """A bounded block of benchmark items: their words, and a sorted table of their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], share: Fraction, least: int):
         found = words_of(pa.array(texts, pa.string()))
         self.ids, self.firsts, self.words = ids, found.firsts, found.hashes
+        self.share = share
+        self.least = [least_match(int(n), share, least) for n in np.diff(self.firsts)]
+        # Below four fifths no longer seed is complete.
+        kinds = [max(k for k in MASKS if k <= max(n, 1)) if share >= Fraction(4, 5) else 1 for n in self.least]
         self.seeds = []
-        for mask in MASKS:
-            at = self._places(len(mask))
-            keys = seed_hashes(self.words, mask)[at]
-            order = np.argsort(keys, kind="stable")
-            bits = np.zeros(1 << _BITS, bool)
-            bits[keys & np.uint64((1 << _BITS) - 1)] = True
-            self.seeds.append((keys[order], at[order], bits))
-        # Items too short for a seed are looked up by their first word.
-        self.short = [i for i in range(len(ids)) if 0 < self.firsts[i + 1] - self.firsts[i] < len(MASKS[0])]
-
-    def _places(self, span: int) -> np.ndarray:
-        runs = [np.arange(a, b - span + 1) for a, b in zip(self.firsts[:-1], self.firsts[1:]) if b - a >= span]
+        for kind, masks in MASKS.items():
+            for mask in masks:
+                at = self._places(len(mask), [k == kind for k in kinds])
+                if not len(at):
+                    continue
+                keys = seed_hashes(self.words, mask)[at]
+                order = np.argsort(keys, kind="stable")
+                bits = np.zeros(1 << _BITS, bool)
+                bits[keys & np.uint64((1 << _BITS) - 1)] = True
+                self.seeds.append((mask, keys[order], at[order], bits))
+
+    def _places(self, span: int, wanted: list[bool]) -> np.ndarray:
+        spans = zip(self.firsts[:-1], self.firsts[1:], wanted)
+        runs = [np.arange(a, b - span + 1) for a, b, want in spans if want and b - a >= span]
         return np.concatenate(runs) if runs else np.empty(0, np.int64)
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Distinct (place in ``words`` minus place in the benchmark) pairs with an item: rows (item, delta)."""
         pairs = []
-        for mask, (keys, at, bits) in zip(MASKS, self.seeds):
+        for mask, keys, at, bits in self.seeds:
             h = seed_hashes(words, mask)
             near = np.flatnonzero(bits[h & np.uint64((1 << _BITS) - 1)])
             lo, hi = np.searchsorted(keys, h[near], "left"), np.searchsorted(keys, h[near], "right")
@@ -99,10 +118,6 @@ class Benchmark:
                 continue
             pick = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             pairs.append((np.repeat(near, n), at[pick]))
-        for i in self.short:
-            a = self.firsts[i]
-            near = np.flatnonzero(words == self.words[a])
-            pairs.append((near, np.full(len(near), a)))
         if not pairs:
             return np.empty((0, 2), np.int64)
         place = np.concatenate([p for p, _ in pairs])
@@ -111,7 +126,7 @@ class Benchmark:
         return np.unique(np.column_stack([item, place - own]), axis=0)
 
 
-def _verify(bench: Benchmark, words: np.ndarray, firsts: np.ndarray, share: float, least: int) -> dict[int, list[dict]]:
+def _verify(bench: Benchmark, words: np.ndarray, firsts: np.ndarray) -> dict[int, list[dict]]:
     """Per text the verified overlaps, the largest of each item."""
     out: dict[int, dict[int, dict]] = {}
     done = set()
@@ -125,8 +140,8 @@ def _verify(bench: Benchmark, words: np.ndarray, firsts: np.ndarray, share: floa
             if y <= x or (item, delta, d) in done:
                 continue
             done.add((item, delta, d))
-            start, end, matched = best_overlap(words[x:y] == bench.words[x - delta : y - delta])
-            if matched >= min(least, b - a) and matched >= share * (end - start):
+            start, end, matched = best_overlap(words[x:y] == bench.words[x - delta : y - delta], bench.share)
+            if matched >= bench.least[item]:
                 hit = {
                     "item_id": bench.ids[item], "matched": matched,
                     "first_word": int(x - firsts[d] + start), "end_word": int(x - firsts[d] + end),
@@ -137,14 +152,16 @@ def _verify(bench: Benchmark, words: np.ndarray, firsts: np.ndarray, share: floa
     return {d: [hits[i] for i in sorted(hits)] for d, hits in out.items()}
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Benchmark]:
+def benchmark_blocks(
+    benchmark: DataFrame, item_id: str, text: str, min_share: float, min_matched: int
+) -> Iterator[Benchmark]:
     """The query set in blocks of about ``BLOCK_BYTES`` of text, each collected on its own."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = -(-size // BLOCK_BYTES)
     for k in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        yield Benchmark([r["i"] for r in part], [r["t"] for r in part])
+        yield Benchmark([r["i"] for r in part], [r["t"] for r in part], Fraction(str(min_share)), min_matched)
 
 
 def mark_overlaps(
@@ -153,8 +170,8 @@ def mark_overlaps(
 ) -> DataFrame:
     """``docs`` with ``name``: the benchmark items that each whole text overlaps, with the words' places.
 
-    A seed that agrees gives a diagonal; on it the longest run of words with at least ``min_share`` equal
-    counts if it has ``min_matched`` equal words, or all of a shorter item. Null texts and an empty
+    A seed that agrees gives a diagonal; on it the run of words with most equal, at least ``min_share`` of it,
+    counts if it has ``min_matched`` equal words, or ``min_share`` of a shorter item. Null texts and an empty
     benchmark give empty arrays; items without id or text are left out; every other column and every
     row passes. Nothing is shuffled: each block of the benchmark is one pass over the rows.
     """
@@ -163,13 +180,13 @@ def mark_overlaps(
     rows = docs.withColumn(name, F.array().cast(HITS))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, HITS)])
     at_text, at_hits = docs.columns.index(text), len(docs.columns)
-    for bench in benchmark_blocks(benchmark, item_id, item_text):
+    for bench in benchmark_blocks(benchmark, item_id, item_text, min_share, min_matched):
 
         def run(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for s in slices(batch, text):
                     words = words_of(s.column(at_text))
-                    hits = _verify(bench, words.hashes, words.firsts, min_share, min_matched)
+                    hits = _verify(bench, words.hashes, words.firsts)
                     column = s.column(at_hits)
                     if hits:
                         column = pa.array(
