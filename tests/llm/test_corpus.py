@@ -371,3 +371,19 @@ def test_quotes_are_linked(spark):
     assert [got[1, t].text for t in range(1, 6)] == ["It leaves from platform nine at noon.", "I know that too.", "Fine.", "ok", ""]
     assert got[2, 1].reply_to is None
     assert quotes.format_chats(table.limit(0)).count() == 0
+
+
+def test_short_lines_and_wrapped_paragraphs_are_linked(spark):
+    letter = "The first part is about\nthe boat.\n\nThe second part is about\nthe long road.\n\nThe third part is about the hill."
+    rows = [
+        (1, 0, "user", "Monday\nTuesday works"), (1, 1, "assistant", "Neither"), (1, 2, "user", "> Monday\nToo soon."),
+        (2, 0, "user", letter), (2, 1, "assistant", "Well."),
+        (2, 2, "user", "> The first part\n> is about the boat.\n>\n> The second part is\n> about the long road.\nYes."),
+        (3, 0, "user", letter.replace("\n", "\r\n")), (3, 1, "assistant", "Well."),
+        (3, 2, "user", "> The second part is\r\n> about the long road.\r\n> \r\n> The third part\r\n> is about the hill.\r\nNo."),
+        (4, 0, "user", "我明天去北京\n你呢"), (4, 1, "assistant", "好"), (4, 2, "user", "> 我明天去北京\n太好了"),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.root, r.depth) for r in quotes.format_chats(table).collect()}
+    assert [got[c, 2] for c in (1, 2, 3, 4)] == [(0, 0, 1)] * 4
+    assert all(got[c, t] == (None, t, 0) for c in (1, 2, 3, 4) for t in (0, 1))

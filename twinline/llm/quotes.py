@@ -9,7 +9,7 @@ from twinline.session import discard, store
 
 MARKS = r"^([ \t]*>)+"  # quote marks at the start of a line
 ATTRIBUTION = r"(?i)\b(wrote|writes|said|a écrit|schrieb|escribió)\s*:\s*$"  # the line before a quote
-LEAST_KEY = 8  # characters of a line that is looked up on its own
+PARAGRAPH = r"\n[ \t\r]*\n"  # blank lines between paragraphs
 SPAN = 4096  # turns in a chunk of the search for the latest earlier message
 
 
@@ -50,10 +50,9 @@ def parse(messages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _keys(lines: Column, wholes: Column) -> Column:
-    """Normalised texts to look up: whole passages, and their lines of some length."""
-    single = F.filter(F.transform(lines, normalised), lambda x: F.length(x) >= LEAST_KEY)
-    whole = F.filter(F.transform(wholes, normalised), lambda x: F.length(x) > 0)
-    return F.array_distinct(F.concat(whole, single))
+    """Normalised texts to look up: whole passages, their paragraphs, and single lines of any length."""
+    texts = F.transform(F.concat(wholes, lines), normalised)
+    return F.array_distinct(F.filter(texts, lambda x: F.length(x) > 0))
 
 
 def _latest_earlier(asked: DataFrame, given: DataFrame) -> DataFrame:
@@ -81,18 +80,19 @@ def _latest_earlier(asked: DataFrame, given: DataFrame) -> DataFrame:
 def link_replies(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, reply_to`` of the messages ``conv_id, turn, own, passages`` that quote an earlier one.
 
-    A quoted passage, paragraph or longer line names the latest earlier message of its conversation that holds the same
+    A quoted passage, paragraph or line names the latest earlier message of its conversation that holds the same
     normalised text outside quotes. The outermost quotes decide; of several messages the one with most quoted
     characters, then the latest. Messages without a turn neither quote nor are quoted.
     """
     placed = messages.filter("turn is not null")
     runs = placed.filter("n_quoted > 0").select("conv_id", "turn", F.explode("passages").alias("p"))
-    keys = _keys(F.col("p.lines"), F.array(F.array_join("p.lines", " ")))
+    passage = F.array_join("p.lines", "\n")
+    keys = _keys(F.col("p.lines"), F.concat(F.array(passage), F.split(passage, PARAGRAPH)))
     asked = runs.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(keys).alias("_t"))
     asked = asked.select("conv_id", F.md5("_t").alias("key"), "turn", "level", F.length("_t").alias("chars")).distinct()
     quoting = runs.select(F.col("conv_id").alias("_conv")).distinct()
     sources = placed.select("conv_id", "turn", "own").join(quoting, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
-    wholes = F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"))
+    wholes = F.concat(F.array("own"), F.split("own", PARAGRAPH))
     given = sources.select("conv_id", "turn", F.explode(_keys(F.split("own", r"\n"), wholes)).alias("_t"))
     given = given.select("conv_id", F.md5("_t").alias("key"), "turn").distinct()
     found = _latest_earlier(asked, given)
