@@ -328,6 +328,18 @@ def test_classifier_learns(spark):
     assert all(0 <= x.p <= 1 for x in odd) and len(odd) == len(ODD) + 2
 
 
+def test_classifier_sample_is_not_used_up(spark, monkeypatch):
+    """Labels without a document and a text above the bound take no other row's place."""
+    seen = []
+    monkeypatch.setattr(bytecnn, "fit", lambda texts, labels: seen.append(len(texts)) or bytecnn.Network.fresh(len(texts)))
+    docs = spark.createDataFrame([(i, "y" * 5000 if i % 4 == 0 else "x" * 10) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    fresh = lambda n: bytecnn.Network.fresh(n).filters
+    assert np.array_equal(bytecnn.train(docs, labels, rows=40, most_bytes=4000).filters, fresh(30))
+    assert np.array_equal(bytecnn.train(docs, labels, rows=25, most_bytes=1 << 20).filters, fresh(25))
+    assert bytecnn.fitting(np.array([1000, 10, 10, 1200, 10]), 1100).tolist() == [True, True, True, False, True]
+
+
 def test_shards_fit(spark):
     r = random.Random(8)
     rows = [(i, r.randint(0, 90)) for i in range(500)] + [(77, 60)] * 200 + [(None, 10), (3, None), (4, 5000)]

@@ -178,20 +178,34 @@ def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Which texts are taken in order until ``most`` bytes are full; long ones wait for the others."""
+    keep = np.zeros(len(sizes), bool)
+    left = most
+    for i in np.argsort(sizes > most // 64, kind="stable"):
+        if sizes[i] <= left:
+            keep[i] = True
+            left -= sizes[i]
+    return keep
+
+
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
 ) -> Network:
     """Fit on at most ``rows`` labelled documents and ``most_bytes`` of text, in one task.
 
-    The sample is the labelled ids with the smallest hashes; repeated labels of an id count by majority,
-    null ids and labels are left out. Without any label the network is the untrained one.
+    The sample is the ids of ``docs`` with a label that have the smallest hashes; repeated labels of an id count by
+    majority, null ids and labels are left out. Only a text that does not fit in what is left of the bytes is skipped,
+    and one of more than a 64th of them waits for the shorter ones. Without any label the network is the untrained one.
     """
     known = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     )
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
+    # Ids only: labels without a document must not use up the sample.
+    present = docs.select("doc_id").join(known, "doc_id").select("doc_id", "_label").distinct()
+    picked = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
     # At most ``rows`` ids are broadcast; repeated documents of an id count once.
     found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     sample = found.groupBy("_id").agg(F.first("_label").alias("label"), F.min("text").alias("text"))
@@ -199,8 +213,7 @@ def train(
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(parts), ignore_index=True).sort_values("_rank")
         texts = got["text"].fillna("")
-        size = texts.str.encode("utf-8").str.len().cumsum()
-        keep = (size <= most_bytes).to_numpy()
+        keep = fitting(texts.str.encode("utf-8").str.len().to_numpy(), most_bytes)
         net = fit(texts[keep].tolist(), got["label"].to_numpy()[keep].astype(np.float32))
         yield pd.DataFrame({"network": [pickle.dumps(vars(net))]})
 
