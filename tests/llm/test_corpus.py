@@ -337,6 +337,7 @@ def test_classifier_sample_is_not_used_up(spark, monkeypatch):
     fresh = lambda n: bytecnn.Network.fresh(n).filters
     assert np.array_equal(bytecnn.train(docs, labels, rows=40, most_bytes=4000).filters, fresh(30))
     assert np.array_equal(bytecnn.train(docs, labels, rows=25, most_bytes=1 << 20).filters, fresh(25))
+    assert np.array_equal(bytecnn.train(docs.filter("doc_id < 0"), labels).filters, fresh(7))
     assert bytecnn.fitting(np.array([1000, 10, 10, 1200, 10]), 1100).tolist() == [True, True, True, False, True]
 
 

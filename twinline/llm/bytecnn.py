@@ -219,7 +219,8 @@ def train(
 
     ranked = sample.select(F.xxhash64("_id").alias("_rank"), "label", "text")
     fitted = ranked.coalesce(1).mapInPandas(learn, "network binary")
-    return Network(**pickle.loads(fitted.first()["network"]))
+    row = fitted.first()
+    return Network(**pickle.loads(row["network"])) if row else Network.fresh(7)
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:
