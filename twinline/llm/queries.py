@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.llm import (
-    bytecnn, jaccard_join, lbl, packing, quality_rules, quotes, sharding, spaced_seeds, token_files, warc,
+    bytecnn, jaccard_join, lbl, merkle, packing, pii, quality_rules, quotes, sharding, spaced_seeds, token_files,
+    vector_codes, warc,
 )
 from twinline.session import scratch_path
 from twinline.sources.tables import scan_table
@@ -18,6 +19,7 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
 LABELS = "doc_id long, quality int, toxic int"
 BENCHMARK = "item_id long, text string"
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 SHARD_BYTES = 1 << 20
@@ -97,11 +99,32 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document and the root folded from its tampered form."""
+    return merkle.manifest(merkle.document_leaves(_documents(spark, sf_dir)))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base findings, and all spans."""
+    found = pii.detect(_documents(spark, sf_dir))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)
+    ]
+    digest = F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.span_text(F.col("spans")).alias("spans"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes and errors of the embeddings."""
+    return vector_codes.compress(scan_table(spark, f"{sf_dir}/embeddings.parquet", EMBEDDINGS))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_lm_scores, op2_shards, op3_packing, op4_quality_rules, op5_jaccard_join, op6_warc,
-            op7_quality_classifier, op8_quotations, op9_decontamination, op10_token_files,
+            op7_quality_classifier, op8_quotations, op9_decontamination, op10_token_files, op11_merkle_manifest,
+            op12_pii, op13_vector_codes,
         )
     }
