@@ -1,13 +1,18 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from twinline.functions.sequences import UNK
-from twinline.operators import encoding, subword
+from twinline.functions.text import fold
+from twinline.operators import encoding, merging, subword
 from twinline.operators.subword import PROTECTED, WORD_MARK, SubwordModel, learn_bpe
 
 PAIR = "ord long, src string, tgt string"
@@ -58,7 +63,7 @@ def test_learning_equals_one_merge_a_round(spark, seed, alphabet, size):
     kept = {r.char for r in subword.char_coverage(df).filter("kept").collect()}
     seeds = 4 + len(PROTECTED) + len(kept - set(PROTECTED))
     merges, state = brute_learn(words, kept, size, seeds)
-    model = learn_bpe(df, size, lookahead=16, rebase_every=5)
+    model = learn_bpe(df, size, guess_words=9, rebase_every=5)
     assert model.merges == merges
     assert len(model.vocab) <= size and [i for i, _, _ in model.vocab] == list(range(len(model.vocab)))
     # Encoding replays the learner: each word ends in the same pieces.
@@ -68,23 +73,84 @@ def test_learning_equals_one_merge_a_round(spark, seed, alphabet, size):
         assert encode(word) == [ids[s] for s in syms if s is not None] or None in syms
 
 
-def test_batched_rounds_need_fewer_jobs(spark):
+def test_rounds_settle_many_merges(spark):
     words = random_words(4, "abcdefghijklmnop", 300)
     df = spark.createDataFrame(list(words.items()), "word string, freq long")
-    exact, fast = learn_bpe(df, 60), learn_bpe(df, 60, merges_per_round=8)
-    assert len(fast.vocab) == len(exact.vocab) == 60
-    assert fast.rounds <= exact.rounds and exact.rounds <= len(exact.merges)
-
-
-def test_settled_prefix_stops_where_order_is_open():
-    settled = subword.settled_prefix
-    top = [("a", "b", 9), ("c", "d", 8), ("b", "e", 7), ("f", "g", 7), ("h", "i", 6)]
-    assert settled(top, set("abcdefghi"), True) == top[:2]
-    assert settled([("a", "b", 9), ("c", "d", 7), ("b", "e", 7)], set("abcde"), True) == [("a", "b", 9)]
-    assert settled([("a", "a", 9), ("c", "d", 7)], set("acd"), True) == [("a", "a", 9)]
-    assert settled([("a", "b", 9), ("c", "c", 8), ("d", "e", 7)], set("abcde"), True) == [("a", "b", 9)]
-    assert settled([("a", "b", 9), ("c", "d", 8)], set("abcd"), False) == [("a", "b", 9)]
-    assert settled([("a", "b", 9), ("c", "d", 8)], {"a", "b", "c", "d", "cd"}, True) == [("a", "b", 9)]
+    told = []
+    model = learn_bpe(df, 90, on_round=lambda *x: told.append(x))
+    assert told[-1] == (model.rounds, len(model.merges)) and model.rounds < len(model.merges) / 2
+
+
+@pytest.mark.parametrize("limits", [{"most_pairs": 7}, {"rebase_every": 3, "guess_words": 0}, {"most_pairs": 20, "guess_words": 5}])
+def test_limits_change_no_merge(spark, limits):
+    """Few held pairs, frequent storing and poor guesses cost rounds and nothing else."""
+    words = random_words(6, "abcd7", 80)
+    df = spark.createDataFrame(list(words.items()), "word string, freq long")
+    kept = {r.char for r in subword.char_coverage(df).filter("kept").collect()}
+    merges, _ = brute_learn(words, kept, 70, 4 + len(PROTECTED) + len(kept - set(PROTECTED)))
+    assert learn_bpe(df, 70, **limits).merges == merges
+
+
+def test_learning_ends_when_no_pair_is_left(spark):
+    df = spark.createDataFrame([("ab", 2), ("7", 1), ("", 3)], "word string, freq long")
+    assert [m[1:] for m in learn_bpe(df, 500).merges] == [("a", "b", 2), (WORD_MARK, "ab", 2)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.integers(0, 3), st.integers(0, 3))
+def test_local_changes_equal_a_recount(ids, left, right):
+    at = merging.occurrences(ids, left, right)
+    after = merging.merged(ids, at, 9)
+    assert after == join_ids(ids, left, right)
+    want = Counter(zip(after, after[1:]))
+    want.subtract(Counter(zip(ids, ids[1:])))
+    got = Counter()
+    for a, b, n in merging.changes(ids, at, 9):
+        got[a, b] += n
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def join_ids(ids, left, right):
+    out, i = [], 0
+    while i < len(ids):
+        hit = ids[i : i + 2] == [left, right]
+        out.append(9 if hit else ids[i])
+        i += 1 + hit
+    return out
+
+
+def replayed(model, word):
+    """All merges one after another."""
+    ids = {p: i for i, p, k in model.vocab if k != "special"}
+    syms = [c if c in ids else None for c in WORD_MARK + word]
+    for _, left, right, _ in model.merges:
+        syms = join(syms, left, right)
+    found = [UNK if s is None else ids[s] for s in syms]
+    return [x for i, x in enumerate(found) if x != UNK or i == 0 or found[i - 1] != UNK]
+
+
+def test_encoding_equals_replaying_the_merges(spark):
+    words = random_words(8, "abcé7", 200)
+    df = spark.createDataFrame(list(words.items()), "word string, freq long")
+    model = learn_bpe(df, 150, coverage=0.99)
+    encode, rng = encoding._word_encoder(model), random.Random(3)
+    for _ in range(300):
+        word = "".join(rng.choices("aabbcé7x", k=rng.randint(1, 30)))
+        assert encode(word) == replayed(model, word)
+    texts = [" ".join(rng.choices(list(words), k=rng.randint(0, 5))) for _ in range(50)] + [None, "", " \n ", "a\tb  c ", "ABC a\xa0b"]
+    pairs = spark.createDataFrame([(i, t, texts[-1 - i]) for i, t in enumerate(texts)], PAIR)
+    for r in encoding.encode_pairs(pairs, model).collect():
+        for text, ids in ((r.src, r.src_ids), (r.tgt, r.tgt_ids)):
+            want = None if text is None else [i for w in re.split(subword.RAW_SPLIT, text) for v in fold(w).split(" ") if v for i in replayed(model, v)]
+            assert ids == want
+
+
+def test_long_words_are_encoded_fast(spark, learned):
+    encode = encoding._word_encoder(learned)
+    word = "".join(random.Random(1).choices("thehousein", k=16_000))
+    start = time.perf_counter()
+    assert len(encode(word)) > 1000
+    assert time.perf_counter() - start < 1
 
 
 CORPUS = [

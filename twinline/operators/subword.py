@@ -1,23 +1,24 @@
 """Shared subword vocabulary: word table, character coverage, merge learning.
 
-The state of the learner is the table of distinct words, each held as one string in
+Pair counts on their own (:func:`pair_counts`) see each distinct word as one string in
 which every symbol is wrapped in two control characters. Folding removes these from
-text, so they are safe marks, and applying a merge is a plain string ``replace``.
+text, so they are safe marks.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinline.functions.sequences import BOS, EOS, PAD, UNK
 from twinline.functions.text import nfkc_fold
+from twinline.operators import merging
 from twinline.operators.profile import stack_sides
-from twinline.session import discard, materialize, store
+from twinline.session import discard, store
 
 # Names of the special tokens, protected digits, vocabulary size, coverage,
 # the mark that opens a word, and the text shown for an unknown token.
@@ -28,8 +29,6 @@ COVERAGE = 0.9995
 WORD_MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
 
-RECOUNT_SHARE = 0.05  # of all pairs: when waiting merges touch more, count all words anew
-
 _OPEN, _CLOSE = "\x01", "\x02"
 _UNKNOWN = "\x03"  # stands for a character outside the vocabulary
 RAW_SPLIT = r"[ \t\n\f\r]+"  # whitespace that folding turns into a space
@@ -83,10 +82,6 @@ def symbols(segmented: Column) -> Column:
     return F.split(F.substring(segmented, F.lit(2), F.length(segmented) - 2), _CLOSE + _OPEN)
 
 
-def _wrapped(*parts: str) -> str:
-    return "".join(f"{_OPEN}{p}{_CLOSE}" for p in parts)
-
-
 def segment_chars(words: DataFrame, alphabet: Sequence[str]) -> DataFrame:
     """Start of learning: each word as wrapped characters; uncovered ones become unknown."""
     known = F.regexp_replace(F.concat(F.lit(WORD_MARK), "word"), f"[^{_char_class(alphabet)}]", _UNKNOWN)
@@ -124,79 +119,6 @@ def pair_counts(segmented: DataFrame, protected: Sequence[str] = PROTECTED) -> D
     return _pair_rows(segmented, protected).groupBy("left", "right").agg(F.sum("freq").alias("freq"))
 
 
-def _merged(seg: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    # The list enters as one literal, so the plans of all rounds share their compiled code.
-    steps = [{"found": _wrapped(left, right), "put": _wrapped(left + right)} for left, right in merges]
-    listed = F.from_json(F.lit(json.dumps(steps)), "array<struct<found:string,put:string>>")
-    return F.aggregate(listed, seg, lambda seg, m: F.replace(seg, m["found"], m["put"]))
-
-
-def apply_merges(segmented: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """Join each listed pair, left to right in every word, in list order."""
-    return segmented.select(_merged(F.col("seg"), merges).alias("seg"), "freq")
-
-
-def updated_counts(
-    counts: DataFrame, segmented: DataFrame, merges: Sequence[tuple[str, str]],
-    protected: Sequence[str] = PROTECTED,
-) -> DataFrame:
-    """Pair counts after ``merges``, from the counts before.
-
-    Only words that some merge changes are taken apart: their old pairs are subtracted and
-    their new ones added. Late merges touch few words, so most of the table is only searched.
-    """
-    both = segmented.select("seg", _merged(F.col("seg"), merges).alias("after"), "freq")
-    versions = F.array(
-        F.struct("seg", (-F.col("freq")).alias("freq")), F.struct(F.col("after").alias("seg"), "freq")
-    )
-    changed = both.select(F.inline(F.when(F.col("after") != F.col("seg"), versions)))
-    summed = counts.unionByName(_pair_rows(changed, protected)).groupBy("left", "right")
-    return summed.agg(F.sum("freq").alias("freq")).filter("freq > 0")
-
-
-def settled_prefix(
-    top: Sequence[tuple[str, str, int]], pieces: set[str], complete: bool
-) -> list[tuple[str, str, int]]:
-    """Leading pairs of ``top`` that one-at-a-time learning would also merge next, in this order.
-
-    A merge changes only counts of pairs that share a symbol with it, and a pair
-    it creates cannot be more frequent than such a pair was. So the pairs ahead of the first one
-    that shares a symbol with an earlier pair are settled if strictly more frequent than it.
-    A pair of equal symbols, or one whose piece exists already, escapes that bound and
-    is merged alone. ``complete`` says that ``top`` holds every pair.
-    """
-    used: set[str] = set()
-    prefix: list[tuple[str, str, int]] = []
-    blocked = 0 if complete else top[-1][2]
-    for left, right, freq in top:
-        alone = left == right or left + right in pieces
-        if left in used or right in used or alone:
-            blocked = freq
-            if not prefix:
-                prefix.append((left, right, freq))
-            break
-        used |= {left, right}
-        pieces = pieces | {left + right}
-        prefix.append((left, right, freq))
-    return prefix[:1] + [p for p in prefix[1:] if p[2] > blocked]
-
-
-def disjoint_pairs(
-    top: Sequence[tuple[str, str, int]], pieces: set[str], most: int
-) -> list[tuple[str, str, int]]:
-    """Up to ``most`` pairs of ``top`` without a common symbol. Later ones may be out of order."""
-    used: set[str] = set()
-    made = set(pieces)
-    chosen: list[tuple[str, str, int]] = []
-    for left, right, freq in top:
-        free = left not in used and right not in used and left != right and left + right not in made
-        if len(chosen) < most and (free or not chosen):
-            used |= {left, right}
-            made.add(left + right)
-            chosen.append((left, right, freq))
-    return chosen
-
-
 @dataclass
 class SubwordModel:
     """Merges in rank order and the vocabulary. Both are bounded by the vocabulary size."""
@@ -222,24 +144,30 @@ class SubwordModel:
         return cls([tuple(r) for r in merges.collect()], [tuple(r) for r in vocab.collect()])
 
 
+def word_symbols(words: DataFrame, alphabet: Sequence[str]) -> DataFrame:
+    """Start of learning: ``ids, freq``, each word as places in ``alphabet``; characters outside it never pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {c: i for i, c in enumerate(alphabet)}
+        for batch in batches:
+            ids = [[place.get(c, merging.NEVER) for c in WORD_MARK + w] for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column("freq")], names=["ids", "freq"])
+
+    return words.select("word", F.col("freq").cast("long")).mapInArrow(run, merging.SHARD_SCHEMA)
+
+
 def learn_bpe(
-    words: DataFrame, vocab_size: int = VOCAB_SIZE, protected: Sequence[str] = PROTECTED,
-    coverage: float = COVERAGE, lookahead: int = 128, merges_per_round: int | None = None,
-    rebase_every: int = 32,
+    words: DataFrame, vocab_size: int = VOCAB_SIZE, protected: Sequence[str] = PROTECTED, coverage: float = COVERAGE,
+    on_round: Callable[[int, int], None] | None = None, **limits: int,
 ) -> SubwordModel:
     """Learn merges from a (word, freq) table until the vocabulary is full.
 
-    Each round is one Spark job: count pairs, from scratch while merges are frequent and
-    by updates once they touch few words, fetch the ``lookahead`` most frequent
-    and merge as many as are settled; ties go to the smaller left, then right symbol. The
-    result equals merging one pair a round. ``merges_per_round`` instead takes up to that many
-    pairs without a common symbol, which needs far fewer rounds and gives a slightly
-    different list. Words and counts are written back to the shared folder when
-    ``rebase_every`` merges wait.
+    The result is that of merging the most frequent pair, one at a time; ties go to the smaller left, then right
+    symbol. :func:`merging.learn` tells how, and takes ``limits``.
     """
     spark = words.sparkSession
-    words = materialize(words, "words")
-    # Unicode bounds the alphabet; the rest of the driver's state is the vocabulary itself.
+    words, path = store(words, "words")
+    # Unicode bounds the alphabet; the rest of the driver's state is the vocabulary and a bounded number of pairs.
     kept = char_coverage(words, coverage).filter("kept").orderBy("char_rank")
     chars = [r.char for r in kept.select("char").collect()]
     vocab = _seed_vocab(protected, chars)
@@ -247,48 +175,16 @@ def learn_bpe(
         raise ValueError(f"vocab_size {vocab_size} cannot hold {len(vocab)} symbols")
     pieces = {piece for _, piece, _ in vocab}
     alphabet = sorted({*chars, *protected, WORD_MARK})
-    # An explicit count keeps the small partitions apart: every round is CPU work on them.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base, base_path = store(segment_chars(words, alphabet).repartition(tasks, "seg"), "segments")
-    counts, counts_path = store(pair_counts(base, protected), "counts")
-    weight = counts.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("w")).first().w
     model = SubwordModel()
-    pending: list[tuple[str, str]] = []
-    touched = 0
-    while len(vocab) < vocab_size:
-        if touched > weight * RECOUNT_SHARE:
-            current = pair_counts(apply_merges(base, pending), protected)
-        else:
-            current = updated_counts(counts, base, pending, protected) if pending else counts
-        best = current.orderBy(F.desc("freq"), "left", "right").limit(lookahead).collect()
-        model.rounds += 1
-        if not best:
-            break
-        top = [(r.left, r.right, r.freq) for r in best]
-        if merges_per_round is None:
-            chosen = settled_prefix(top, pieces, len(top) < lookahead)
-        else:
-            chosen = disjoint_pairs(top, pieces, merges_per_round)
-        for left, right, freq in chosen:
-            model.merges.append((len(model.merges), left, right, freq))
-            pending.append((left, right))
-            touched += freq
-            if left + right not in pieces:
-                pieces.add(left + right)
-                vocab.append((len(vocab), left + right, "merge"))
-            if len(vocab) == vocab_size:
-                break
-        if len(pending) >= rebase_every:
-            # A word that has become one symbol has no pairs left.
-            unfinished = apply_merges(base, pending).filter(F.col("seg").contains(_CLOSE + _OPEN))
-            superseded = base_path, counts_path
-            base, base_path = store(unfinished, "segments")
-            counts, counts_path = store(pair_counts(base, protected), "counts")
-            pending, touched = [], 0
-            for path in superseded:
-                discard(spark, path)
-    for path in (base_path, counts_path):
-        discard(spark, path)
+    merges, model.rounds = merging.learn(
+        word_symbols(words, alphabet), alphabet, protected, vocab_size - len(vocab), on_round, **limits
+    )
+    discard(spark, path)
+    for rank, (left, right, freq) in enumerate(merges):
+        model.merges.append((rank, left, right, freq))
+        if left + right not in pieces:
+            pieces.add(left + right)
+            vocab.append((len(vocab), left + right, "merge"))
     model.vocab = vocab
     return model
 
