@@ -54,7 +54,6 @@ def test_cached_ids_equal_the_tokenizer(name):
     parts = ["a", "B", "é", " ", "  ", "\n", "'s", "1", "!", " ", "<|endoftext|>", "日", "\t", "zz", "\x01", "　"]
     texts = ODD + ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(400)]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     encode = tokens.Encoder(public_tokenizers.path(name))
     for _ in range(2):  # the second time from the cache
         ids, counts = encode(pa.array(texts, pa.string()))
@@ -66,7 +65,6 @@ def test_packing_holds_every_id_once(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(docs_of(spark, ODD, 10), path, 0, capacity=64, longest_cut=16, windows_a_block=4).collect()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     by_doc, by_window = defaultdict(list), defaultdict(list)
     for r in rows:
         assert len(r.ids) == 4 * r.length > 0
@@ -102,7 +100,6 @@ def test_token_files(spark, tmp_path):
     rows = token_files.read_token_files(spark, out)
     got = sorted(rows.mapInArrow(token_files.crc_of_lists, "doc_id long, start long, n_tokens long, ids_crc32 long").collect(), key=lambda r: r.start)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     assert [r.doc_id for r in got] == [None, 0, 0, *range(1, len(ODD))]
     at = 0
     for r in got:

@@ -24,25 +24,42 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     Each item starts as a partial partition with one filled window. The two partitions with the largest
     imbalance are merged again and again, the fullest window of one with the emptiest of the other.
     """
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = [0] * windows
-        sums[0] = s  # sums fall from first to last
-        heap.append((-s, i, sums, [[i]] + [[] for _ in range(windows - 1)]))
+    # A window is its sum and a node: an item, or a pair of nodes beyond the items; -1 is empty.
+    heap = [(-s, i, [(s, i)] + [(0, -1)] * (windows - 1)) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     if not heap:
         return [[] for _ in range(windows)]
-    tie = len(sizes)
+    count, pairs = len(sizes), []
+    tie = count
     while len(heap) > 1:
-        _, _, a, own = heapq.heappop(heap)
-        _, _, b, other = heapq.heappop(heap)
-        merged = sorted(
-            ((x + y, p + q) for x, y, p, q in zip(a, reversed(b), own, reversed(other))), key=lambda t: -t[0]
-        )
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heap[0]
+        merged = []
+        for (x, p), (y, q) in zip(a, reversed(b)):
+            if p < 0:
+                p = q
+            elif q >= 0:
+                pairs.append((p, q))
+                p = count + len(pairs) - 1
+            merged.append((x + y, p))
+        merged.sort(reverse=True)  # sums fall from first to last
         low = merged[-1][0]
-        heapq.heappush(heap, (low - merged[0][0], tie, [s - low for s, _ in merged], [m for _, m in merged]))
+        if low:
+            merged = [(s - low, p) for s, p in merged]
+        heapq.heapreplace(heap, (-merged[0][0], tie, merged))
         tie += 1
-    return heap[0][3]
+    return [_members(node, count, pairs) for _, node in heap[0][2]]
+
+
+def _members(node: int, count: int, pairs: list[tuple[int, int]]) -> list[int]:
+    out, open_nodes = [], [node]
+    while open_nodes:
+        n = open_nodes.pop()
+        if n >= count:
+            open_nodes += pairs[n - count]
+        elif n >= 0:
+            out.append(n)
+    return out
 
 
 def fit(sizes: list[int], capacity: int) -> list[list[int]]:

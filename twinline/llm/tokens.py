@@ -1,8 +1,9 @@
 """Token ids of whole text columns: distinct words are encoded once a worker, the rest is numpy.
 
-Both tokenizers split at white space before they merge, so a text's ids are those of its pieces in a
-row. A piece is a run of ASCII white space with the word after it (or the word alone where the
-tokenizer drops white space). Texts with any other white space are encoded whole.
+Both tokenizers split at white space and where letters, digits and other ASCII characters meet before they merge, so a text's ids are
+those of its pieces in a row. A piece is a run of ASCII white space with what follows up to the next such place (without
+the white space where the tokenizer drops it). No cut lies beside a character outside ASCII, nor between an apostrophe and a
+letter, which may belong together. Texts with other white space or with the strings of special tokens are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from twinline.llm.wordhash import _SPACE, hash_spans, text_bytes, words_of
+from twinline.llm.wordhash import _LOWER, _SPACE, hash_spans, word_spans
 
 SLICE_BYTES = 8 << 20  # of text handled at once
 CACHED_PIECES = 2_000_000  # of a worker; further pieces are encoded again
@@ -24,6 +25,14 @@ _SEP = "\x01"
 _LEADS = " \n"  # a piece that begins with one of these begins a token
 _ODD = r"[\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+# Kinds of bytes between which a tokenizer always splits; 0: unknown.
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.zeros(256, np.int8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_APOSTROPHE = ord("'")
+
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` cut between rows so that each part has about ``most`` bytes of text; a longer text is a part."""
@@ -50,15 +59,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.keeps_space = bool(self._ids([" a"])[0] != self._ids(["a"])[0])
         if self.keeps_space:
             size = self.tok.get_vocab_size()
             names = [self.tok.id_to_token(i) or "" for i in range(size)]
             marks = [self.tok.id_to_token(self._ids([f"{c}a"])[0][0])[0] for c in _LEADS]
             self.begins = [np.array([x.startswith(m) for x in names]) for m in marks]
+            self.space = marks[0]
         else:
             (self.sep,) = self._ids([f" {_SEP} "])[0]
+            self.space = ""
+        self.lowers = self._ids(["Ab"]) == self._ids(["ab"])
+        trial = ["the", "Zqxj", "internationalization", " the", " Zqxj"][: 5 if self.keeps_space else 3]
+        #: Letters alone may skip all steps before the merging.
+        self.direct = [self._merge(x) for x in trial] == self._ids(trial)
         self.keys = np.empty(0, np.uint64)
         self.at = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
@@ -67,6 +82,11 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merge(self, letters: str) -> list[int]:
+        if letters[0] == " ":
+            letters = self.space + letters[1:]
+        return [t.id for t in self.tok.model.tokenize(letters.lower() if self.lowers else letters)]
+
     def _encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ids of all pieces, and each one's number of ids and place among them.
 
@@ -74,6 +94,15 @@ class Encoder:
         """
         lead = self._lead(raw, starts, ends)
         order, flat, sizes = [], [], []
+        if self.direct:
+            blank = (raw[starts] == 0x20) & self.keeps_space
+            odd = np.concatenate(([0], np.cumsum(_KIND[raw] != _LETTER)))
+            letters = np.flatnonzero((odd[ends] == odd[starts + blank]) & (ends > starts + blank))
+            found = [self._merge(raw[starts[i] : ends[i]].tobytes().decode("ascii")) for i in letters]
+            order.append(letters)
+            flat.append(np.array([x for ids in found for x in ids], np.uint32))
+            sizes.append(np.array([len(ids) for ids in found], np.int64))
+            lead[letters] = -2
         glued = np.concatenate([raw, np.frombuffer(f" {_SEP} ".encode(), np.uint8)])
         for kind in range(len(_LEADS) if self.keeps_space else 1):
             alike = np.flatnonzero(lead == kind)
@@ -97,7 +126,7 @@ class Encoder:
                 order.append(part)
                 flat.append(ids)
                 sizes.append(np.diff(cuts, append=len(ids)))
-        rest = np.flatnonzero(lead < 0)
+        rest = np.flatnonzero(lead == -1)
         alone = self._ids([raw[starts[i] : ends[i]].tobytes().decode("utf-8") for i in rest])
         order.append(rest)
         flat.append(np.array([x for ids in alone for x in ids], np.uint32))
@@ -117,32 +146,29 @@ class Encoder:
         return np.where((ends - starts < 2) | _SPACE[second], -1, kinds[raw[starts]]).astype(np.int8)
 
     def _pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raw, offsets = text_bytes(column)
-        words = words_of(column, lower=False)
-        if not self.keeps_space:
-            return raw, words.starts, words.ends, words.counts
-        n, firsts = words.counts, words.firsts
-        has = n > 0
-        starts = np.concatenate((words.starts[:0], words.ends[:-1])) if len(words.ends) else words.ends
-        starts = np.concatenate(([0], starts)) if len(words.ends) else starts
-        starts = starts.copy()
-        starts[firsts[:-1][has]] = offsets[:-1][has]
-        # White space after the last word is a piece of its own.
-        last = offsets[:-1].copy()
-        last[has] = words.ends[firsts[1:][has] - 1]
-        tail = last < offsets[1:]
-        place = firsts[1:][tail]
-        return (
-            raw,
-            np.insert(starts, place, last[tail]),
-            np.insert(words.ends, place, offsets[1:][tail]),
-            n + tail,
-        )
+        raw, offsets, starts, ends = word_spans(column)
+        kind = _KIND[raw]
+        cut = np.zeros(len(raw), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        cut[1:] &= ~((raw[:-1] == _APOSTROPHE) & (kind[1:] == _LETTER))
+        if self.keeps_space:
+            # The pieces tile the texts: what follows a word begins the next piece.
+            cut[ends[ends < len(raw)]] = True
+            cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+            starts = np.flatnonzero(cut)
+            ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+        else:
+            cut[offsets[:-1][offsets[:-1] < len(raw)]] = False
+            inner = np.flatnonzero(cut)
+            starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        return _LOWER[raw] if self.lowers else raw, starts, ends, np.diff(np.searchsorted(starts, offsets))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32) and their number for each text; a null is an empty text."""
         column = column.fill_null("")
         odd = pc.match_substring_regex(column, _ODD)
+        for content in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, content, ignore_case=True))
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(whole):
             texts = column.take(pa.array(whole)).to_pylist()

@@ -74,8 +74,8 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased if asked."""
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, each text's offsets, and where words ``[^\\x20\\x09-\\x0D]+`` begin and end."""
     raw, offsets = text_bytes(column)
     inside = ~_SPACE[raw]
     first, last = inside.copy(), inside.copy()
@@ -85,7 +85,12 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
     begin, end = offsets[:-1][filled], offsets[1:][filled] - 1
     first[begin], last[end] = inside[begin], inside[end]
     # A word never runs over into the next text.
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return raw, offsets, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words_of(column: pa.Array, lower: bool = True) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased if asked."""
+    raw, offsets, starts, ends = word_spans(column)
     counts = np.diff(np.searchsorted(starts, offsets))
     return Words(hash_spans((_LOWER if lower else _PLAIN)[raw], starts, ends), starts, ends, counts)
 
