@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.llm.tokens import encode_whole, slices
+from twinline.session import small_side
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -74,7 +75,7 @@ def read_token_files(
         F.col("part").alias("_part"), F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("_before")
     )
     rows = files if where is None else files.filter(where)
-    found = rows.join(before, F.col("part") == F.col("_part")).withColumn("start", F.col("_before") + F.col("part_start"))
+    found = rows.join(small_side(before, "file-starts"), F.col("part") == F.col("_part")).withColumn("start", F.col("_before") + F.col("part_start"))
     return found.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
 
