@@ -23,6 +23,7 @@ HIDDEN = 16
 # Bounds of the sample that the network is fitted on, whole texts in hash order of their ids.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 16 << 20
+LEAST_STEPS = 400  # of the fit, however few texts there are
 
 
 @dataclass
@@ -148,16 +149,23 @@ def gradients(net: Network, column: pa.Array, labels: np.ndarray, weights: np.nd
     }
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on the logistic loss; both labels weigh the same."""
+def fit(
+    texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 7,
+    least_steps: int = LEAST_STEPS,
+) -> Network:
+    """Adam on the logistic loss, both labels weighing the same; then the scores are set to the labels' true shares."""
     net = Network.fresh(seed)
+    if not texts:
+        return net
     r = np.random.default_rng(seed)
-    ones = labels.mean() if len(labels) else 0.5
+    ones = labels.mean()
     weight = np.where(labels == 1, 0.5 / max(ones, 1e-6), 0.5 / max(1 - ones, 1e-6))
     m = {k: np.zeros_like(v) for k, v in vars(net).items()}
     v = {k: np.zeros_like(x) for k, x in vars(net).items()}
-    step, steps = 0, max(1, epochs * -(-len(texts) // batch))
-    for _ in range(epochs):
+    a_pass = -(-len(texts) // batch)
+    steps = a_pass * max(epochs, -(-least_steps // a_pass))
+    step = 0
+    while step < steps:
         order = r.permutation(len(texts))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
@@ -169,6 +177,27 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 48,
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 change = pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
                 setattr(net, k, (getattr(net, k) - change).astype(np.float32))
+    return calibrated(net, texts, labels)
+
+
+def calibrated(net: Network, texts: list[str], labels: np.ndarray) -> Network:
+    """The network with a slope and a shift of its log-odds that fit the labels as they are (Platt's smoothed targets)."""
+    tables, p = net.pairs(), []
+    for a in range(0, len(texts), 64):
+        p.append(scores(net, pa.array(texts[a : a + 64], pa.string()), tables))
+    p = np.clip(np.concatenate(p), 1e-12, 1 - 1e-12)
+    z = np.log(p / (1 - p))
+    ones = labels.sum()
+    aim = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
+    x = np.column_stack([z, np.ones(len(z))])
+    w = np.array([1.0, 0.0])
+    for _ in range(50):  # Newton steps; a weak pull to no change keeps them defined
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (q - aim) + 0.1 * (w - [1.0, 0.0])
+        w = w - np.clip(np.linalg.solve((x.T * (q * (1 - q))) @ x + 0.1 * np.eye(2), gradient), -1, 1)
+    slope = max(w[0], 0.05)  # the order of the texts stays
+    net.out = (net.out * slope).astype(np.float32)
+    net.out_bias = (net.out_bias * slope + w[1]).astype(np.float32)
     return net
 
 

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ MASKS = {
 }
 MIN_MATCHED = 13  # words, or ``MIN_SHARE`` of a shorter item
 MIN_SHARE = 0.8  # of the overlap's words are equal
+MIN_ITEM_WORDS = 8  # an item with fewer is in any text; see :func:`short_items`
 BLOCK_BYTES = 8 << 20  # of benchmark text sent to the tasks at once
 _BITS = 22
 
@@ -152,11 +153,20 @@ def _verify(bench: Benchmark, words: np.ndarray, firsts: np.ndarray) -> dict[int
     return {d: [hits[i] for i in sorted(hits)] for d, hits in out.items()}
 
 
+def _word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+
+
+def short_items(benchmark: DataFrame, text: str = "text", min_words: int = MIN_ITEM_WORDS) -> DataFrame:
+    """The items that are not searched for: without text, or too short to tell a leak from chance."""
+    return benchmark.filter(F.coalesce(_word_count(F.col(text)), F.lit(0)) < min_words)
+
+
 def benchmark_blocks(
-    benchmark: DataFrame, item_id: str, text: str, min_share: float, min_matched: int
+    benchmark: DataFrame, item_id: str, text: str, min_share: float, min_matched: int, min_words: int
 ) -> Iterator[Benchmark]:
     """The query set in blocks of about ``BLOCK_BYTES`` of text, each collected on its own."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
+    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter(_word_count(F.col("t")) >= min_words)
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = -(-size // BLOCK_BYTES)
     for k in range(blocks):
@@ -166,13 +176,14 @@ def benchmark_blocks(
 
 def mark_overlaps(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    name: str = "overlaps", min_share: float = MIN_SHARE, min_matched: int = MIN_MATCHED,
+    name: str = "overlaps", min_share: float = MIN_SHARE, min_matched: int = MIN_MATCHED, min_words: int = MIN_ITEM_WORDS,
 ) -> DataFrame:
     """``docs`` with ``name``: the benchmark items that each whole text overlaps, with the words' places.
 
     A seed that agrees gives a diagonal; on it the run of words with most equal, at least ``min_share`` of it,
     counts if it has ``min_matched`` equal words, or ``min_share`` of a shorter item. Null texts and an empty
-    benchmark give empty arrays; items without id or text are left out; every other column and every
+    benchmark give empty arrays; items of fewer than ``min_words`` words are left out (:func:`short_items` lists them), those without
+    an id are searched like others and give hits with a null id; every other column and every
     row passes. Nothing is shuffled: each block of the benchmark is one pass over the rows.
     """
     if name in docs.columns:
@@ -180,7 +191,7 @@ def mark_overlaps(
     rows = docs.withColumn(name, F.array().cast(HITS))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, HITS)])
     at_text, at_hits = docs.columns.index(text), len(docs.columns)
-    for bench in benchmark_blocks(benchmark, item_id, item_text, min_share, min_matched):
+    for bench in benchmark_blocks(benchmark, item_id, item_text, min_share, min_matched, min_words):
 
         def run(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -2,14 +2,15 @@
 
 Both tokenizers split at white space and where letters, digits and other ASCII characters meet before they merge, so a text's ids are
 those of its pieces in a row. A piece is a run of ASCII white space with what follows up to the next such place (without
-the white space where the tokenizer drops it). No cut lies beside a character outside ASCII, nor between an apostrophe and a
-letter, which may belong together. Texts with other white space or with the strings of special tokens are encoded whole.
+the white space where the tokenizer drops it). No cut lies beside a character that is neither ASCII nor a letter of Latin-1, nor
+between an apostrophe and a letter, which may belong together. Texts with other white space or with the strings of special tokens are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,29 @@ _KIND[0x21:0x7F] = _OTHER
 _KIND[48:58] = _DIGIT
 _KIND[65:91] = _KIND[97:123] = _LETTER
 _APOSTROPHE = ord("'")
+# The letters of Latin-1 in UTF-8: this byte, then one of these.
+_LATIN = 0xC3
+_LATIN_NEXT = np.zeros(256, bool)
+_LATIN_NEXT[0x80:0xC0] = True
+_LATIN_NEXT[[0x97, 0xB7]] = False  # the signs of multiplication and division
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies show for each byte: itself where it can be seen, else one from 256 up."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_SHOWN = byte_characters()
+
+
+def kinds(raw: np.ndarray) -> np.ndarray:
+    """What each byte is part of."""
+    kind = _KIND[raw]
+    two = np.flatnonzero((raw[:-1] == _LATIN) & _LATIN_NEXT[raw[1:]])
+    kind[two] = kind[two + 1] = _LETTER
+    return kind
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -66,14 +90,12 @@ class Encoder:
             names = [self.tok.id_to_token(i) or "" for i in range(size)]
             marks = [self.tok.id_to_token(self._ids([f"{c}a"])[0][0])[0] for c in _LEADS]
             self.begins = [np.array([x.startswith(m) for x in names]) for m in marks]
-            self.space = marks[0]
         else:
             (self.sep,) = self._ids([f" {_SEP} "])[0]
-            self.space = ""
         self.lowers = self._ids(["Ab"]) == self._ids(["ab"])
-        trial = ["the", "Zqxj", "internationalization", " the", " Zqxj"][: 5 if self.keeps_space else 3]
+        trial = ["the", "zqxj", "internationalization", "été", "Übergrößen", "ÀÉ", " the", " zqxj", " à"][: 9 if self.keeps_space else 6]
         #: Letters alone may skip all steps before the merging.
-        self.direct = [self._merge(x) for x in trial] == self._ids(trial)
+        self.direct = self._merge([x.encode() for x in trial]) == self._ids(trial)
         self.keys = np.empty(0, np.uint64)
         self.at = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
@@ -82,10 +104,15 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merge(self, letters: str) -> list[int]:
-        if letters[0] == " ":
-            letters = self.space + letters[1:]
-        return [t.id for t in self.tok.model.tokenize(letters.lower() if self.lowers else letters)]
+    def _merge(self, letters: list[bytes]) -> list[list[int]]:
+        """Ids of words of letters, with a space before them or not."""
+        tokenize = self.tok.model.tokenize
+        out = []
+        for word in letters:
+            if self.lowers and not word.isascii():
+                word = word.decode("utf-8").lower().encode("utf-8")
+            out.append([t.id for t in tokenize(word.decode("latin-1").translate(_SHOWN))])
+        return out
 
     def _encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ids of all pieces, and each one's number of ids and place among them.
@@ -96,11 +123,12 @@ class Encoder:
         order, flat, sizes = [], [], []
         if self.direct:
             blank = (raw[starts] == 0x20) & self.keeps_space
-            odd = np.concatenate(([0], np.cumsum(_KIND[raw] != _LETTER)))
+            odd = np.concatenate(([0], np.cumsum(kinds(raw) != _LETTER, dtype=np.int32)))
             letters = np.flatnonzero((odd[ends] == odd[starts + blank]) & (ends > starts + blank))
-            found = [self._merge(raw[starts[i] : ends[i]].tobytes().decode("ascii")) for i in letters]
+            flat_raw = raw.tobytes()
+            found = self._merge([flat_raw[a:b] for a, b in zip(starts[letters].tolist(), ends[letters].tolist())])
             order.append(letters)
-            flat.append(np.array([x for ids in found for x in ids], np.uint32))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
             sizes.append(np.array([len(ids) for ids in found], np.int64))
             lead[letters] = -2
         glued = np.concatenate([raw, np.frombuffer(f" {_SEP} ".encode(), np.uint8)])
@@ -147,7 +175,7 @@ class Encoder:
 
     def _pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         raw, offsets, starts, ends = word_spans(column)
-        kind = _KIND[raw]
+        kind = kinds(raw)
         cut = np.zeros(len(raw), bool)
         cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         cut[1:] &= ~((raw[:-1] == _APOSTROPHE) & (kind[1:] == _LETTER))
