@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,17 +92,52 @@ def ngram_counts(segments: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     )
 
 
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _M2
+    return h ^ (h >> np.uint64(31))
+
+
+def gram_keys(lists: pa.Array, max_order: int) -> list[np.ndarray]:
+    """Of each order, a key of every n-gram of every token-hash list; equal n-grams of one list have equal keys."""
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    owner = np.repeat(np.arange(1, len(count) + 1, dtype=np.uint64), count)
+    keys, gram = [], _mixed(tokens * _M1)
+    for n in range(1, max_order + 1):
+        if n > 1:
+            gram = _mixed(gram[:-1] * _M1 + tokens[n - 1 :]) if len(gram) else gram
+        size = len(gram)
+        inside = owner[:size] == owner[len(owner) - size :]
+        keys.append(_mixed(gram[inside] + owner[:size][inside] * _M1))
+    return keys
+
+
 def clipped_matches(segments: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
-    """Clipped matches and totals by order, summed over the corpus."""
-    return (
-        ngram_counts(segments, max_order)
-        .groupBy("n")
-        .agg(
-            F.sum(F.least("hyp_count", "ref_count")).alias("matches"),
-            F.sum("hyp_count").alias("hyp_total"),
-            F.sum("ref_count").alias("ref_total"),
-        )
+    """Clipped matches and totals by order, summed over the corpus.
+
+    N-grams are 64-bit keys in arrays, counted where the segments lie: no row is made of an n-gram and nothing but a few
+    sums a task is shuffled. Null texts have no tokens.
+    """
+    hashed = lambda c: F.transform(bleu_tokenize(F.col(c)), lambda t: F.xxhash64(t)).alias(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((max_order, 3), np.int64)
+        for batch in batches:
+            both = [gram_keys(batch.column(c), max_order) for c in ("hypothesis", "reference")]
+            for n, (hyp, ref) in enumerate(zip(*both)):
+                (h, in_hyp), (r, in_ref) = (np.unique(x, return_counts=True) for x in (hyp, ref))
+                _, i, j = np.intersect1d(h, r, assume_unique=True, return_indices=True)
+                sums[n] += np.minimum(in_hyp[i], in_ref[j]).sum(), len(hyp), len(ref)
+        columns = [pa.array(np.arange(1, max_order + 1), pa.int32()), *(pa.array(sums[:, k]) for k in range(3))]
+        yield pa.RecordBatch.from_arrays(columns, names=["n", "matches", "hyp_total", "ref_total"])
+
+    partial = segments.select(hashed("hypothesis"), hashed("reference")).mapInArrow(
+        run, "n int, matches long, hyp_total long, ref_total long"
     )
+    return partial.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("matches", "hyp_total", "ref_total")]).filter("hyp_total + ref_total > 0")
 
 
 def bleu_corpus(segments: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:

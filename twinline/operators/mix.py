@@ -89,3 +89,13 @@ def assign_batches(
         return out
     full = sizes.agg(F.floor(F.sum("_n") / batch_size)).scalar()
     return out.filter(F.col("batch_id") < full)
+
+
+def feed_report(train: DataFrame, val: DataFrame, batch: int, accumulate: int, epochs: int) -> DataFrame:
+    """One row: samples, validation samples, full batches an epoch, steps in all, and samples behind one update."""
+    counts = [df.agg(F.count("*")).scalar() for df in (train, val)]
+    one = train.sparkSession.range(1).select(counts[0].alias("n_samples"), counts[1].alias("n_val_samples"))
+    steps = F.floor(F.col("n_samples") / batch)
+    return one.select(
+        "*", steps.alias("steps_per_epoch"), (steps * epochs).alias("total_steps"), F.lit(batch * accumulate).cast("long").alias("effective_batch")
+    )

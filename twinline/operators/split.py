@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinline.functions.text import is_filled, strip
-from twinline.session import small_side
+from twinline.operators.clean import pair_key
+from twinline.session import materialize, small_side
 
 # Rows taken from each category, in order of position.
 PER_CATEGORY = (("train", 8), ("val", 1), ("test", 1))
@@ -94,3 +95,26 @@ def split_leakage(splits: DataFrame) -> DataFrame:
         one = rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("check"), "n_rows")
         tagged = one if tagged is None else tagged.unionByName(one)
     return tagged
+
+
+def leak_report(splits: DataFrame, corpora: dict[str, DataFrame]) -> DataFrame:
+    """How many held-out rows occur in each corpus: ``corpus, split, by, n_held_out, n_found``.
+
+    ``by`` is the lower-cased source or the whole pair. The held-out keys are few: they go to the corpora, which are read
+    once each and not moved; only keys that are found come back. Null sides never match.
+    """
+    by_src = F.unhex(F.sha2(F.lower("src"), 256))
+    by_pair = pair_key(F.lower("src"), F.lower("tgt"))
+    keyed = F.inline(F.array(*[F.struct(F.lit(n).alias("by"), k.alias("key")) for n, k in (("src", by_src), ("pair", by_pair))]))
+    held = materialize(splits.filter("split <> 'train'").select("split", "ord", keyed), "held-out")
+    known = small_side(held.select("by", "key").distinct(), "held-out-keys")
+    found = None
+    for name, pairs in corpora.items():
+        one = pairs.select(keyed).join(known, ["by", "key"], "left_semi").distinct().withColumn("corpus", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    names = F.explode(F.array(*[F.lit(n) for n in corpora])).alias("corpus")
+    all_rows = held.select("split", "by", "key", names)
+    marked = all_rows.join(found.withColumn("_found", F.lit(True)), ["corpus", "by", "key"], "left")
+    return marked.groupBy("corpus", "split", "by").agg(
+        F.count("*").alias("n_held_out"), F.count_if("_found").alias("n_found")
+    )

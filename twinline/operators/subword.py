@@ -134,8 +134,8 @@ class SubwordModel:
         return spark.createDataFrame(self.vocab, VOCAB_SCHEMA)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.merges_frame(spark).coalesce(1).write.parquet(f"{path}/merges")
-        self.vocab_frame(spark).coalesce(1).write.parquet(f"{path}/vocab")
+        self.merges_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/merges")
+        self.vocab_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SubwordModel:

@@ -6,28 +6,30 @@ Array results are rendered as space-joined text, so that any engine can compare
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.functions import rules as R
 from twinline.functions import sequences as Q
-from twinline.operators import bleu, clean, encoding, losses, mix, profile, provenance, split, subword
+from twinline import streaming
+from twinline.operators import bleu, clean, encoding, losses, mix, profile, provenance, sketches, split, subword, terms
 from twinline.plans import views as V
-from twinline.session import materialize, scratch_path
-from twinline.sources import sinks, tables
+from twinline.session import exists, materialize, scratch_path, scratch_root
+from twinline.sources import fieldlog, sinks, tables
 
 # Parameters of the queries, shared with their SQL counterparts.
-VOCAB = 128
+VOCAB = subword.VOCAB_SIZE
 SEED = 13
 WEIGHTS = {"field": 20, "base": 1}
 TRAIN_BATCH, VAL_BATCH = 32, 128
 REPORT_EVERY = 100
+ACCUMULATE, EPOCHS = 1, 20
 MARKERS = (*R.MARKERS, ("of", "the"), ("de", "la"), ("und",))
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
-_models: dict[str, subword.SubwordModel] = {}
 
 
 def query(fn: Query) -> Query:
@@ -44,14 +46,26 @@ def _joined(array: str | Column) -> Column:
 
 
 def model(spark: SparkSession, sf_dir: str) -> subword.SubwordModel:
-    """The vocabulary of a corpus, learned once and reused."""
-    if sf_dir not in _models:
-        _models[sf_dir] = subword.learn_bpe(_words(spark, sf_dir), VOCAB)
-    return _models[sf_dir]
+    """The vocabulary of a corpus, learned once and kept in the shared folder.
+
+    It is known by the files of the table and their times, so a changed table is learned anew.
+    """
+    path = _model_path(spark, sf_dir)
+    if not exists(spark, f"{path}/vocab/_SUCCESS"):
+        subword.learn_bpe(_words(spark, sf_dir), VOCAB).save(spark, path)
+    return subword.SubwordModel.load(spark, path)
+
+
+def _model_path(spark: SparkSession, sf_dir: str) -> str:
+    file = [F.col(f"_metadata.{c}").cast("string") for c in ("file_path", "file_size", "file_modification_time")]
+    files = V.documents(spark, sf_dir).select(F.xxhash64(*file).alias("h")).distinct()
+    known = files.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h")).first()
+    return f"{scratch_root(spark)}/twinline/model-{VOCAB}-{known.n}-{known.h}"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subword.word_freq(V.doc_pairs(spark, sf_dir))
+    """Words of the clean corpus, which the vocabulary is learned from."""
+    return subword.word_freq(clean.clean_pairs(V.doc_pairs(spark, sf_dir)))
 
 
 # Sources and sinks
@@ -62,17 +76,16 @@ def scan_pairs(spark, sf_dir):
     return V.pairs(spark, sf_dir)
 
 
-def _written_pairs(spark, sf_dir) -> str:
+def _written_pairs(spark, sf_dir) -> tuple[str, int]:
     path = scratch_path(spark, "pairs")
     kept = clean.dedup_pairs(V.doc_pairs(spark, sf_dir))
-    sinks.write_clean(kept.select("src", "tgt"), path)
-    return path
+    return path, sinks.write_clean(kept.select("src", "tgt"), path)
 
 
 @query
 def write_clean(spark, sf_dir):
     """Written, then read back raw: nothing is trimmed or lost on the way."""
-    scanned = tables.scan_csv(spark, _written_pairs(spark, sf_dir), ["src", "tgt"])
+    scanned = tables.scan_csv(spark, _written_pairs(spark, sf_dir)[0], ["src", "tgt"])
     return tables.quarantine(scanned)[0]
 
 
@@ -87,9 +100,8 @@ def read_pairs_csv(spark, sf_dir):
     return tables.read_pairs_csv(spark, path, ["src", "tgt"])
 
 
-@query
-def quarantine_rows(spark, sf_dir):
-    """Document rows as CSV lines, some with a field too few or too many."""
+def _quarantined(spark, sf_dir) -> tuple[str, dict[str, int]]:
+    """Document rows as CSV lines, some with a field too few or too many, scanned once into good and bad."""
     field = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
     short = F.col("ord") % 7 == 0
     long = (F.col("ord") % 5 == 0) & ~short
@@ -104,10 +116,45 @@ def quarantine_rows(spark, sf_dir):
     V.doc_pairs(spark, sf_dir).select(line.alias("line")).write.option("lineSep", "\n").text(path)
     columns = ["category", "src", "tgt"]
     scanned = tables.scan_csv(spark, path, columns, header="false", lineSep="\n")
-    good, bad = tables.quarantine(scanned)
-    good = good.select(F.lit("good").alias("outcome"), *columns)
-    bad = bad.select(F.lit("bad").alias("outcome"), "category", "raw")
-    return good.unionByName(bad, allowMissingColumns=True)
+    out = scratch_path(spark, "quarantine")
+    return out, tables.write_quarantined(scanned, out)
+
+
+@query
+def quarantine_rows(spark, sf_dir):
+    """The rows that were set apart and those that were not, from where one pass put them."""
+    path, _ = _quarantined(spark, sf_dir)
+    rows = spark.read.schema("category string, src string, tgt string, raw string, outcome string").parquet(path)
+    good = F.col("outcome") == "good"
+    return rows.select("outcome", "category", *[F.when(good, F.col(c)).alias(c) for c in ("src", "tgt")], "raw")
+
+
+@query
+def quarantine_report(spark, sf_dir):
+    """Rows by reason, counted while they were written."""
+    _, counts = _quarantined(spark, sf_dir)
+    return spark.createDataFrame(list(counts.items()), "reason string, n_rows long")
+
+
+@query
+def field_log(spark, sf_dir):
+    """Each source as a collection session in a Markdown log, written, and read back as typed rows."""
+    counts = V.documents(spark, sf_dir).groupBy("source", F.col("lang").alias("category")).agg(F.count("*").alias("n_pairs"))
+    listed = counts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("category", "n_pairs"))).alias("counts"))
+    noted = listed.join(V.sessions(spark, sf_dir).withColumnRenamed("session_id", "source"), "source", "left")
+    sessions = noted.withColumn("session", F.regexp_extract("source", "([0-9]+)$", 1).cast("int"))
+    path = scratch_path(spark, "field-log")
+    fieldlog.session_notes(sessions).write.option("lineSep", "\n").text(path)
+    return fieldlog.read_field_log(spark, path).select("session", "source", "category", "consent", "n_pairs")
+
+
+@query
+def clean_stream(spark, sf_dir):
+    """The documents cleaned as a stream of files, read back from its sink."""
+    sink, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    source = f"{sf_dir}/documents.parque[t]"  # a pattern, so that a table of one file is found as well as a folder
+    streaming.run_clean_stream(spark, source, V.DOCUMENTS, V.document_sides, sink, checkpoint)
+    return spark.read.schema("ord long, src string, tgt string").parquet(sink)
 
 
 @query
@@ -129,7 +176,8 @@ def write_corpus(spark, sf_dir):
 @query
 def sink_report(spark, sf_dir):
     """Rows and bytes without the header lines, whose number is the number of files."""
-    report = sinks.sink_report(spark, _written_pairs(spark, sf_dir), ["src", "tgt"])
+    path, n_rows = _written_pairs(spark, sf_dir)
+    report = sinks.sink_report(spark, path, ["src", "tgt"], n_rows)
     header = len('"src","tgt"\n')
     return report.select("n_rows", (F.col("n_bytes") - F.col("n_files") * header).alias("body_bytes"))
 
@@ -248,6 +296,38 @@ def length_profile(spark, sf_dir):
     return profile.length_profile(V.doc_pairs(spark, sf_dir))
 
 
+@query
+def sketched_sentences(spark, sf_dir):
+    """Sentences by side from the stored sketches of four deliveries; the sketched figures are tested against exact ones."""
+    return _merged_deliveries(spark, sf_dir).select("side", "n_sentences")
+
+
+@query
+def sketched_profile(spark, sf_dir):
+    """Length quantiles and distinct words by side, merged from the stored sketches of four deliveries."""
+    return sketches.sketch_report(_merged_deliveries(spark, sf_dir))
+
+
+def _merged_deliveries(spark, sf_dir) -> DataFrame:
+    pairs = V.doc_pairs(spark, sf_dir)
+    stored = [
+        materialize(sketches.delivery_sketches(pairs.filter(F.col("ord") % 4 == k)), "delivery") for k in range(4)
+    ]
+    return sketches.merged_sketches(reduce(DataFrame.unionByName, stored), "side")
+
+
+@query
+def term_hits(spark, sf_dir):
+    """How many of the two-word sequences of the benchmark stand in each document."""
+    benchmark = tables.scan_table(spark, f"{sf_dir}/benchmark.parquet", "item_id long, text string")
+    words = benchmark.select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
+    pairs = F.explode(F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.array(x, F.get("w", i + 1))))
+    found = words.filter(F.size("w") > 1).select(pairs.alias("parts")).distinct()
+    listed = found.select(F.array_join("parts", " ").alias("term"), "parts")
+    hits = terms.term_hits(V.documents(spark, sf_dir), listed)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
+
+
 @query
 def word_vocab_size(spark, sf_dir):
     return profile.word_vocab_size(V.doc_pairs(spark, sf_dir))
@@ -282,6 +362,14 @@ def split_leakage(spark, sf_dir):
     return split.split_leakage(splits)
 
 
+@query
+def leak_report(spark, sf_dir):
+    """Validation and test rows that occur in the train split or in the training feed."""
+    splits = materialize(split.stratified_split(V.category_pairs(spark, sf_dir)), "splits")
+    corpora = {"train": splits.filter("split = 'train'"), "feed": _feed_sources(spark, sf_dir)}
+    return split.leak_report(splits, corpora)
+
+
 # Mix and batches
 
 
@@ -341,7 +429,10 @@ def bpe_pair_counts(spark, sf_dir):
 
 @query
 def learn_bpe(spark, sf_dir):
-    return model(spark, sf_dir).merges_frame(spark)
+    """Learned anew at every call, and kept for the other queries."""
+    learned = subword.learn_bpe(_words(spark, sf_dir), VOCAB)
+    learned.save(spark, _model_path(spark, sf_dir))
+    return learned.merges_frame(spark)
 
 
 @query
@@ -429,6 +520,14 @@ def write_feed(spark, sf_dir):
     return spark.read.schema(feed.schema).parquet(path)
 
 
+@query
+def feed_report(spark, sf_dir):
+    """Samples, steps and the effective batch of the feeds."""
+    mixed = mix.weighted_mix(_feed_sources(spark, sf_dir).select("source", "ord"), WEIGHTS)
+    val = split.split_positions(V.category_pairs(spark, sf_dir)).filter("split = 'val'")
+    return mix.feed_report(mixed, val, VAL_BATCH, ACCUMULATE, EPOCHS)
+
+
 @query
 def validation_feed(spark, sf_dir):
     """The validation split in its own order; the last batch stays, whatever its size."""

@@ -44,8 +44,13 @@ def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line of each document against the rest; a single line gives two empty sides."""
+    return document_sides(documents(spark, sf_dir))
+
+
+def document_sides(docs: DataFrame) -> DataFrame:
+    """Documents as pairs; see :func:`raw_doc_pairs`. Also works on streams."""
     at = F.locate("\n", F.col("text"))
-    return documents(spark, sf_dir).select(
+    return docs.select(
         F.col("doc_id").alias("ord"),
         F.col("lang").alias("category"),
         "source",

@@ -45,6 +45,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return store(df, label)[0]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
     if f"{scratch_root(spark)}/twinline/" not in path:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.functions.text import is_filled
@@ -17,13 +17,16 @@ def _csv_options(quote_all: bool) -> dict[str, str]:
     return {**options, "quoteAll": str(quote_all).lower(), "lineSep": "\n"}
 
 
-def write_clean(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """CSV with a header and every field quoted."""
+def write_clean(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """CSV with a header and every field quoted; gives the rows, counted while they are written."""
+    seen = Observation("rows of a sink")
     (
-        df.write.options(**_csv_options(quote_all=True))
+        df.observe(seen, F.count(F.lit(1)).alias("n_rows"))
+        .write.options(**_csv_options(quote_all=True))
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
+    return seen.get["n_rows"]
 
 
 def write_splits(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
@@ -46,14 +49,14 @@ def write_feed(df: DataFrame, path: str) -> None:
     df.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "pos").write.parquet(path)
 
 
-def sink_report(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows read back from a CSV folder, its files and their bytes."""
+def sink_report(spark: SparkSession, path: str, columns: list[str], n_rows: int | None = None) -> DataFrame:
+    """Rows of a CSV folder, its files and their bytes. Rows are read back unless the sink's count is given."""
     # Without its content column the binary source lists files and reads none of them.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    n_rows = scan_csv(spark, path, columns).agg(F.count("*")).scalar()
+    rows = scan_csv(spark, path, columns).agg(F.count("*")).scalar() if n_rows is None else F.lit(n_rows).cast("long")
     size = F.coalesce(F.sum("length"), F.lit(0))
     return files.agg(
-        n_rows.alias("n_rows"),
+        rows.alias("n_rows"),
         F.count("*").alias("n_files"),
         size.alias("n_bytes"),
         F.round(size / 1024, 1).alias("size_kb"),

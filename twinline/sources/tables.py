@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,14 +89,35 @@ def quarantine(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def malformed_counts(scanned: DataFrame) -> DataFrame:
-    """Rows of a CSV scan by ``reason``: well formed, too few fields, too many, or empty."""
+REASONS = ("well formed", "empty", "too many fields", "too few fields")
+
+
+def malformed_reason(scanned: DataFrame) -> Column:
+    """Which of :data:`REASONS` fits a row of a CSV scan."""
     named = [c for c in scanned.columns if c != _BAD]
     filled = sum((F.col(c).isNotNull().cast("int") for c in named), F.lit(0))
-    reason = (
+    return (
         F.when(F.col(_BAD).isNull(), "well formed")
         .when(F.trim(_BAD) == "", "empty")
         .when(filled == len(named), "too many fields")
         .otherwise("too few fields")
     )
-    return scanned.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+def malformed_counts(scanned: DataFrame) -> DataFrame:
+    """Rows of a CSV scan by ``reason``: well formed, too few fields, too many, or empty."""
+    return scanned.groupBy(malformed_reason(scanned).alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+def write_quarantined(scanned: DataFrame, path: str) -> dict[str, int]:
+    """Write good and bad rows of a CSV scan to folders of ``path``, and count them by reason, in one pass.
+
+    The folder is partitioned by ``outcome``; bad rows keep their ``raw`` text. The counts are observed while the rows are
+    written, so neither the source nor the sink is read for them.
+    """
+    seen = Observation("outcome of a scan")
+    counts = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    tagged = scanned.withColumn("reason", malformed_reason(scanned)).withColumnRenamed(_BAD, "raw").observe(seen, *counts)
+    outcome = F.when(F.col("raw").isNull(), "good").otherwise("bad")
+    tagged.withColumn("outcome", outcome).write.partitionBy("outcome").parquet(path)
+    return dict(seen.get)
