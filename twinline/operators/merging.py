@@ -31,7 +31,7 @@ SHARD_SCHEMA = "ids array<int>, freq long"
 REPORT_SCHEMA = "step int, a int, b int, n long"
 NEVER = -1  # a symbol that never pairs
 CACHED_SYMBOLS = 20_000_000  # of all shards that a worker keeps
-GUESS_WORDS = 100_000  # of the most frequent words, which the driver guesses with
+GUESS_WORDS = 500_000  # of the most frequent words, which the driver guesses with
 LEAST_GUESSES, MOST_GUESSES = 16, 512  # merges a round
 MOST_PAIRS = 1_000_000  # held by the driver; rarer pairs are fetched when these are used up
 REBASE_EVERY = 4_000  # merges after which the shards are stored anew
