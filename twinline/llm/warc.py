@@ -14,8 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinline.session import discard, store
+
 BINS = 65_536  # equal id ranges whose sizes fix the shards: bounds what is collected and broadcast
 _READ = 16 << 10
+TASK_SHARDS = 16  # shards that one task writes, one after the other, where there are more shards than cores
 LEAST_REVISIT = 100  # bytes; smaller payloads are always written
 DATE = "2024-01-01T00:00:00Z"
 
@@ -97,13 +100,14 @@ def write_warc(
     id come first; rows that share id and payload are all written. Shards are id ranges fixed by the
     sizes of the rows; a bin of ids beyond ``shard_bytes`` is cut by digest. A file ends once it holds
     ``file_bytes`` compressed. Tasks write under names of their own attempt; then finished files are renamed, and the
-    manifest, written last, commits them: readers see only what it lists.
+    manifest, written last, commits them: readers see only what it lists. Ids, digests and sizes are stored
+    once, so the html is read twice: for them, and for the archives.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), body.alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("n", F.octet_length("html").cast("long"))
-    narrow = rows.select("page_id", "digest", "n")
+    narrow, narrow_path = store(rows.select("page_id", "digest", "n"), "page-digests")
     low, width, bins = shard_bins(narrow, shard_bytes)
     firsts = (
         narrow.filter(F.col("n") >= LEAST_REVISIT)
@@ -122,9 +126,10 @@ def write_warc(
     lead = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     shard = F.coalesce(F.col("_shard") + F.floor(lead * F.col("_parts") / (1 << 32)), F.lit(0))
     count = max([s + p for _, s, p in bins], default=1)
+    tasks = max(min(count, spark.sparkContext.defaultParallelism), -(-count // TASK_SHARDS))
     sorted_rows = (
         placed.select(shard.alias("shard"), "page_id", "digest", "refers_to", "url", "html")
-        .repartitionByRange(count, "shard")
+        .repartitionByRange(tasks, "shard")
         .sortWithinPartitions(F.col("shard"), F.col("page_id"), F.col("digest"), F.col("html").isNotNull(), F.col("url"))
     )
 
@@ -172,6 +177,7 @@ def write_warc(
             yield batch
 
     written.mapInArrow(rename, FILE_SCHEMA).drop("temp").write.json(f"{path}/manifest")
+    discard(spark, narrow_path)
 
 
 def _open(fs, root: str, shard: int, number: int) -> dict:
