@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinline.session import discard, store
+from twinline.session import discard, small_side, store
 
 MARKS = r"^([ \t]*>)+"  # quote marks at the start of a line
 ATTRIBUTION = r"(?i)\b(wrote|writes|said|a écrit|schrieb|escribió)\s*:\s*$"  # the line before a quote
@@ -90,7 +90,8 @@ def link_replies(messages: DataFrame) -> DataFrame:
     keys = _keys(F.col("p.lines"), F.concat(F.array(passage), F.split(passage, PARAGRAPH)))
     asked = runs.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(keys).alias("_t"))
     asked = asked.select("conv_id", F.md5("_t").alias("key"), "turn", "level", F.length("_t").alias("chars")).distinct()
-    quoting = runs.select(F.col("conv_id").alias("_conv")).distinct()
+    # Few conversations quote: their ids go to the messages, whose texts then stay where they lie.
+    quoting = small_side(runs.select(F.col("conv_id").alias("_conv")).distinct(), "quoting")
     sources = placed.select("conv_id", "turn", "own").join(quoting, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
     wholes = F.concat(F.array("own"), F.split("own", PARAGRAPH))
     given = sources.select("conv_id", "turn", F.explode(_keys(F.split("own", r"\n"), wholes)).alias("_t"))
@@ -127,11 +128,13 @@ def format_chats(messages: DataFrame) -> DataFrame:
     ``text`` has no quotes. Ordered by ``conv_id, root, depth, turn`` a conversation has every reply behind the
     message that it answers. A message that quotes nothing known is its own root at depth 0. Null texts
     are empty; rows that share conversation and turn each stay; a null conversation is one of its own;
-    other columns are not carried.
+    other columns are not carried. Messages are parsed once and stored.
     """
     parsed = parse(messages.select("conv_id", "turn", "role", "text"))
+    parsed, _ = store(parsed.select("conv_id", "turn", "role", "own", "n_quoted", "passages"), "parsed")
     linked = threads(link_replies(parsed))
     linked = linked.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "reply_to", "root", "depth")
+    linked = small_side(linked, "replies")
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t"))
     return parsed.join(linked, same, "left").select(
         "conv_id", "turn", "role", F.col("own").alias("text"), "n_quoted", "reply_to",
