@@ -18,7 +18,7 @@ from twinline.session import discard, store
 
 BINS = 65_536  # equal id ranges whose sizes fix the shards: bounds what is collected and broadcast
 _READ = 16 << 10
-TASK_SHARDS = 16  # shards that one task writes, one after the other, where there are more shards than cores
+TASK_SHARDS = 16  # shards that one task writes, one after the other, where shards outnumber four a core
 LEAST_REVISIT = 100  # bytes; smaller payloads are always written
 DATE = "2024-01-01T00:00:00Z"
 
@@ -126,7 +126,7 @@ def write_warc(
     lead = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     shard = F.coalesce(F.col("_shard") + F.floor(lead * F.col("_parts") / (1 << 32)), F.lit(0))
     count = max([s + p for _, s, p in bins], default=1)
-    tasks = max(min(count, spark.sparkContext.defaultParallelism), -(-count // TASK_SHARDS))
+    tasks = max(min(count, 4 * spark.sparkContext.defaultParallelism), -(-count // TASK_SHARDS))
     sorted_rows = (
         placed.select(shard.alias("shard"), "page_id", "digest", "refers_to", "url", "html")
         .repartitionByRange(tasks, "shard")
