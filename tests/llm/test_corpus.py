@@ -301,6 +301,57 @@ def test_model_is_normalised_and_scores_add_up(spark):
         assert got[i].held_out == (i not in train)
 
 
+def test_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lbl, "LEAST", 3)
+    r = random.Random(8)
+    names = [f"w{chr(97 + k % 7)}{k}{chr(97 + k % 5)}" for k in range(150)]
+    texts = [" ".join(names[min(int(r.expovariate(0.03)), 149)] for _ in range(r.randint(0, 60))) for _ in range(150)] + [None, "unseen q"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held", bytecnn.held_out("doc_id", 5, 1))
+    model = lbl.learn(table.filter("not held"))
+    units, w = model.units, model.vectors.astype(float)
+    targets = len(units.shares)
+    assert targets > lbl.TAILS and np.allclose(np.add.reduceat(units.shares, units.bounds[:-1]), 1)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = Counter(x for t in train for x in WORD.findall(lower(t)))
+    known = wordhash.words_of(pa.array([" ".join(count)]))
+    keys = dict(zip(count, known.hashes.view(np.int64).tolist()))
+    place = {k: j for j, k in enumerate(model.frequent.keys.tolist())}
+    heads = {x for x in count if model.frequent.classes[place[keys[x]]] >= 0}
+    group = lambda x: ord(x[-1]) & 31
+    unit = lambda x: units.of_word[place[keys[x]]] if x in keys and units.of_word[place[keys[x]]] >= 0 else units.bounds[group(x) + 1] - 1
+    cls = lambda x: model.frequent.classes[place[keys[x]]] if x in heads else lbl.HEAD + group(x)
+    got = {x.doc_id: x.score for x in lbl.score(table, model, "doc_id", "text", "held").collect()}
+    for i, t in enumerate(texts):
+        words, total, one, two, before = WORD.findall(lower(t)), 0.0, lbl.END, lbl.END, units.end
+        for x in words:
+            total += model.table[two * lbl.CLASSES + one, cls(x)]
+            if x not in heads:
+                g = group(x)
+                logits = w[targets + before, :-1] @ w[units.bounds[g] : units.bounds[g + 1], :-1].T + w[units.bounds[g] : units.bounds[g + 1], -1]
+                p = np.exp(logits) / np.exp(logits).sum()
+                total += np.log10(p[unit(x) - units.bounds[g]])
+                if unit(x) == units.bounds[g + 1] - 1:
+                    others = [c for y, c in count.items() if y not in heads and group(y) == g and unit(y) == unit(x)]
+                    total += np.log10((count[x] + 0.5) / (sum(others) + 0.5 * (len(others) + 1)))
+            two, one, before = one, cls(x), unit(x)
+        total += model.table[two * lbl.CLASSES + one, lbl.END]
+        assert got[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_vectors_learn_what_follows(spark, monkeypatch):
+    """Words that always follow one another inside a group are told apart; nothing is learnt from no pairs."""
+    monkeypatch.setattr(lbl, "LEAST", 3)
+    pairs = [(f"a{k}x", f"b{k}x") for k in range(90)]
+    texts = [" ".join(f"{a} {b}" for a, b in random.Random(i).sample(pairs, 40)) for i in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = lambda m: sum(x.score for x in lbl.score(table.withColumn("held", F.lit(False)), m, "doc_id", "text", "held").collect())
+    learnt = total(lbl.learn(table))
+    monkeypatch.setattr(lbl, "ROUNDS", 0)
+    assert learnt > total(lbl.learn(table))
+    empty = lbl.learn(table.limit(0))
+    assert all(np.isfinite(x.score) for x in lbl.score(table.limit(3).withColumn("held", F.lit(False)), empty, "doc_id", "text", "held").collect())
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     table = spark.createDataFrame([(i, "a b c d e f g h " * (i % 3 + 1)) for i in range(20)], "doc_id long, text string").withColumn("held", F.lit(False))
     whole = {r.doc_id: r.score for r in lbl.score(table, lbl.learn(table), "doc_id", "text", "held").collect()}

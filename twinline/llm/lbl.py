@@ -1,9 +1,11 @@
 """Log-bilinear language model: noise-contrastive estimation in numpy, exact corpus counts on Spark.
 
 A word's class is itself for the ``HEAD`` most frequent training words, else one of ``TAILS`` groups by
-its last byte. The network predicts a token's class from the classes of the two tokens before it; a
-tail word then follows its group's smoothed counts. All probabilities of a context sum to one
-over the training words, one unknown word a group, and the end.
+its last byte. One network predicts a token's class from the classes of the two tokens before it. A second
+predicts the word inside its group from the word before: every word of ``LEAST`` training occurrences
+has vectors of its own (the ``OWN`` most frequent of them), so its vocabulary grows with the corpus; the other words of a group share one, and
+follow smoothed counts behind it. All probabilities of a context sum to one over the training words, one unknown
+word a group, and the end.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.llm.tokens import slices
 from twinline.llm.wordhash import Words, text_bytes, words_of
-from twinline.session import store
+from twinline.session import discard, store
 
 HEAD = 64
 TAILS = 32
@@ -27,6 +29,18 @@ END = HEAD + TAILS  # the class of the end, and of what lies before a text
 CLASSES = END + 1
 END_KEY = 0x5D0C1E7D  # the end among the word keys
 FREQUENT = 100_000  # words whose counts are sent to the tasks; the rest are joined
+LEAST = 32  # training occurrences from which a word has vectors of its own
+OWN = 8192  # words with vectors at most, the most frequent: a group's are all met by each of its pairs
+WIDTH = 16  # of a vector
+ROUNDS = 3  # of joint training
+PASSES = 2  # of a round over all pairs of neighbouring words
+RATE = 0.3  # of the first round's steps
+CALM = 100.0  # squared gradient that a row starts with: how far rare words hold back
+NOISE = 512  # noise words that each word is told from
+_BATCH = 2048
+_CHUNK = 1 << 16  # pairs that a task holds at once, and tokens that are scored at once
+_PART = 4096  # rows of the vectors that are summed in one row of Spark
+_MOST = 20.0  # of a product of two vectors
 SMOOTH = 0.5
 _SLICE = 12 << 20
 COUNT_SCHEMA = "key long, tail int, c long"
@@ -162,21 +176,203 @@ def estimate(cells: np.ndarray, counts: np.ndarray, size: int = 16, noise: int =
     return ((s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)).astype(np.float64)
 
 
+@dataclass
+class Units:
+    """What the second network knows: the targets by group, the rest of a group as its last; then heads, and the end."""
+
+    bounds: np.ndarray  # targets of group g are bounds[g] to bounds[g + 1]
+    of_word: np.ndarray  # unit of each frequent word; -1 for the rest of its group
+    shares: np.ndarray  # smoothed share of each target in its group
+    rest: np.ndarray  # log10 of the smoothed mass of each group's rest
+    end: int
+
+    def place(self, column: pa.Array, words: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit of every word, unit before it, and its group."""
+        group = _tails(column, words)
+        own = self.of_word[found] if len(self.of_word) else np.full(len(found), -1)
+        unit = np.where((found >= 0) & (own >= 0), own, self.bounds[group + 1] - 1)
+        before = np.concatenate(([self.end], unit))[: len(unit)]
+        before[words.firsts[:-1][words.counts > 0]] = self.end
+        return unit, before, group
+
+
+def units_of(top: pd.DataFrame, by_key: np.ndarray, n: np.ndarray, v: np.ndarray) -> Units:
+    """Units of the most frequent words ``tail, c``, most frequent first; ``n, v`` are the groups' sums without the heads."""
+    heads = min(HEAD, len(top))
+    tail, c = top["tail"].to_numpy()[heads:], top["c"].to_numpy()[heads:]
+    own = np.flatnonzero(c[:OWN] >= LEAST)
+    size = np.bincount(tail[own], minlength=TAILS)
+    bounds = np.concatenate(([0], np.cumsum(size + 1)))
+    order = own[np.argsort(tail[own], kind="stable")]
+    unit = np.full(len(top), -1, np.int64)
+    places = np.delete(np.arange(bounds[-1]), bounds[1:] - 1)
+    unit[heads + order] = places
+    unit[:heads] = bounds[-1] + np.arange(heads)
+    mass = np.empty(bounds[-1])
+    mass[places] = c[order] + SMOOTH
+    rest = n - np.bincount(tail[own], c[own], minlength=TAILS) + SMOOTH * (v - size + 1)
+    mass[bounds[1:] - 1] = rest
+    shares = mass / np.repeat(n + SMOOTH * (v + 1), size + 1)
+    return Units(bounds, unit[by_key], shares, np.log10(rest), int(bounds[-1]) + heads)
+
+
+def pair_counts(docs: DataFrame, frequent: Frequent, units: Units, text: str = "text") -> DataFrame:
+    """``pair, c``: how often each target follows each unit, over every training word outside the heads."""
+    targets = len(units.shares)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch, text, _SLICE):
+                words = words_of(s.column(text))
+                unit, before, _ = units.place(s.column(text), words, frequent.find(_keys(words)))
+                tail = unit < targets
+                code, pairs = pd.factorize(before[tail] * targets + unit[tail])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs, pa.int64()), pa.array(np.bincount(code, minlength=len(pairs)), pa.int64())], names=["pair", "c"]
+                )
+
+    return docs.select(text).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+
+
+def _add_rows(into: np.ndarray, squares: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    """A step on ``rows``, repeated ones summed, by the gradients' running squares."""
+    order = np.argsort(rows, kind="stable")
+    some, first = np.unique(rows[order], return_index=True)
+    sums = np.add.reduceat(grads[order], first)
+    squares[some] += (sums * sums).mean(1)
+    into[some] -= rate * sums / np.sqrt(squares[some])[:, None]
+
+
+def nce_pass(
+    w: np.ndarray, squares: np.ndarray, units: Units, pairs: np.ndarray, counts: np.ndarray, seed: int, rate: float = RATE
+) -> None:
+    """One pass of noise-contrastive steps over ``pairs``, each as many times as counted; changes ``w, squares`` in place.
+
+    A batch holds pairs of one group. Its ``NOISE`` noise words a pair are taken in expectation over the group's shares.
+    """
+    r = np.random.default_rng(seed)
+    targets = len(units.shares)
+    into, unit = w[targets:], w[:targets]  # context vectors; target vectors with their bias
+    shift = np.log(NOISE * units.shares).astype(np.float32)
+    context, target = pairs // targets, pairs % targets
+    group = np.searchsorted(units.bounds, target, "right") - 1
+    order = np.lexsort((r.random(len(pairs)), group))
+    ends = np.searchsorted(group[order], np.arange(len(units.bounds)))
+    batches = [order[a : min(a + _BATCH, ends[g + 1])] for g in range(len(ends) - 1) for a in range(ends[g], ends[g + 1], _BATCH)]
+    for k in r.permutation(len(batches)):
+        rows = batches[k]
+        low, high = units.bounds[group[rows[0]]], units.bounds[group[rows[0]] + 1]
+        noise, times = np.arange(low, high), NOISE * units.shares[low:high].astype(np.float32)
+        x, y, c = context[rows], target[rows], counts[rows].astype(np.float32)
+        q = into[x].copy()
+        q[:, WIDTH] = 1  # meets the bias
+        good = 1 / (1 + np.exp(-np.clip((q * unit[y]).sum(1) - shift[y], -30, 30)))
+        bad = 1 / (1 + np.exp(-np.clip(q @ unit[noise].T - shift[noise], -30, 30)))
+        up, down = (good - 1) * c, bad * c[:, None] * times
+        gq = up[:, None] * unit[y] + down @ unit[noise]
+        gq[:, WIDTH] = 0
+        _add_rows(unit, squares[:targets], np.concatenate((y, noise)), np.concatenate((up[:, None] * q, down.T @ q)), rate)
+        _add_rows(into, squares[targets:], x, gq, rate)
+
+
+def fit_units(pairs: DataFrame, units: Units, rounds: int | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of targets, then contexts, and the log of each context's sum over each group.
+
+    Each round, tasks make steps on their stored pairs from the same vectors; changes are averaged row by row, by
+    the counts that stood behind them. Without training a target has its share. The driver
+    holds the vectors and sums, bounded by ``OWN``; a repeated task gives the same, as its stored rows keep their order.
+    """
+    targets, size = len(units.shares), len(units.shares) + units.end + 1
+    w = np.random.default_rng(seed).normal(0, 0.1, (size, WIDTH + 1)).astype(np.float32)
+    w[:targets] = 0
+    w[:targets, WIDTH] = np.log(units.shares)
+    w[targets:, WIDTH] = 0
+    for step in range(ROUNDS if rounds is None else rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, step: int = step) -> Iterator[pa.RecordBatch]:
+            now, squares, weight = w.copy(), np.full(size, CALM, np.float32), np.zeros(size, np.float32)
+            held: list[pa.RecordBatch] = []
+            number = 0
+
+            def learn_held() -> None:
+                one = pa.Table.from_batches(held)
+                p, c = one.column("pair").to_numpy(), one.column("c").to_numpy()
+                for k in range(PASSES):
+                    nce_pass(now, squares, units, p, c, int(p[0]) * 64 + step * PASSES + k, RATE / (1 + step / 2))
+                weight[:] += np.bincount(np.concatenate((p % targets, targets + p // targets)), np.concatenate((c, c)), minlength=size)
+
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                    number += batch.num_rows
+                if number >= _CHUNK:
+                    learn_held()
+                    held, number = [], 0
+            if held:
+                learn_held()
+            weight += 1e-3  # what only noise moved
+            out = np.column_stack(((now - w) * weight[:, None], weight)).astype(np.float32)
+            yield _parts({k: out[k * _PART : (k + 1) * _PART] for k in range(-(-size // _PART))})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, raw in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
+                    got = np.frombuffer(raw, np.float32).reshape(-1, WIDTH + 2).astype(np.float64)
+                    sums[part] = sums[part] + got if part in sums else got
+            yield _parts(sums, np.float64)
+
+        parts = pairs.mapInArrow(run, "part int, data binary")
+        for row in parts.repartition(-(-size // _PART), "part").mapInArrow(add, "part int, data binary").collect():
+            got = np.frombuffer(row["data"], np.float64).reshape(-1, WIDTH + 2)
+            at = slice(row["part"] * _PART, row["part"] * _PART + len(got))
+            w[at] += (got[:, :-1] / got[:, -1:]).astype(np.float32)
+    return w, _group_sums(pairs.sparkSession, w, units)
+
+
+def _parts(parts: dict[int, np.ndarray], kind: type = np.float32) -> pa.RecordBatch:
+    data = [np.ascontiguousarray(x, kind).tobytes() for x in parts.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+def _group_sums(spark: SparkSession, w: np.ndarray, units: Units) -> np.ndarray:
+    """Log of the sum of each context over the targets of each group: batched products, some contexts a task."""
+    targets, contexts_, step = len(units.shares), units.end + 1, 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                s = np.clip(w[targets + k * step : targets + (k + 1) * step, :WIDTH] @ w[:targets, :WIDTH].T, -_MOST, _MOST)
+                s += w[:targets, WIDTH]
+                most = s.max(1, keepdims=True)
+                sums = np.add.reduceat(np.exp(s - most), units.bounds[:-1], axis=1)
+                yield _parts({k: np.log(sums) + most})
+
+    blocks = -(-contexts_ // step)
+    out = np.empty((contexts_, len(units.bounds) - 1), np.float32)
+    for row in spark.range(0, blocks, 1, min(blocks, 256)).mapInArrow(run, "part int, data binary").collect():
+        got = np.frombuffer(row["data"], np.float32).reshape(-1, out.shape[1])
+        out[row["part"] * step : row["part"] * step + len(got)] = got
+    return out
+
+
 @dataclass
 class Model:
     frequent: Frequent
     table: np.ndarray  # log10 P(class | context)
-    tail_norm: np.ndarray  # log10 of each group's smoothed mass
+    units: Units
+    vectors: np.ndarray
+    sums: np.ndarray  # natural log, by context and group
     n: int
     v: int
-    counts: DataFrame
+    counts: DataFrame | None
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model:
     """Counts of all words of ``docs``, then the network on all its class counts.
 
-    The driver holds ``FREQUENT`` words and ``CLASSES`` cubed cells at most. An empty table gives a model
-    that knows no word.
+    The driver holds ``FREQUENT`` words and ``CLASSES`` cubed cells at most; the counts of neighbouring words, which grow
+    with the corpus, stay in the shared folder. An empty table gives a model that knows no word.
     """
     counts, _ = store(word_counts(docs, text), "word-counts")
     sums = counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
@@ -194,7 +390,24 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     cells = cell_counts(docs, frequent, text).toPandas()
     table = estimate(cells["cell"].to_numpy(), cells["c"].to_numpy())
     total, distinct = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
-    return Model(frequent, table, np.log10(n + SMOOTH * (v + 1)), total, distinct, counts)
+    units = units_of(top, by_key, n, v)
+    pairs, path = store(pair_counts(docs, frequent, units, text), "pair-counts")
+    vectors, group_sums = fit_units(pairs, units)
+    discard(pairs.sparkSession, path)
+    return Model(frequent, table, units, vectors, group_sums, total, distinct, counts)
+
+
+def inside_groups(model: Model, unit: np.ndarray, before: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """log10 P(target | unit before, group); zero for heads, which are classes of their own."""
+    w, targets = model.vectors, len(model.units.shares)
+    out = np.zeros(len(unit))
+    tail = np.flatnonzero(unit < targets)
+    for a in range(0, len(tail), _CHUNK):
+        at = tail[a : a + _CHUNK]
+        u, x = unit[at], before[at]
+        s = np.clip(np.einsum("ij,ij->i", w[targets + x, :WIDTH], w[u, :WIDTH]), -_MOST, _MOST) + w[u, WIDTH]
+        out[at] = (s - model.sums[x, group[at]]) / np.log(10)
+    return out
 
 
 def score(docs: DataFrame, model: Model, doc_id: str, text: str, held: str) -> DataFrame:
@@ -204,7 +417,8 @@ def score(docs: DataFrame, model: Model, doc_id: str, text: str, held: str) -> D
     frequent ones leave the tasks as one row a document and word, meet their counts in a join on the word's
     hash, and are summed by row.
     """
-    frequent, table, norm = model.frequent, model.table, model.tail_norm
+    frequent, table, units = model.frequent, model.table, model.units
+    known = Model(frequent, table, units, model.vectors, model.sums, model.n, model.v, None)  # without the table of counts
     end = model.counts.filter(F.col("key") == END_KEY).agg(F.sum("c")).first()[0] or 0
     per_token = np.log10(model.n + SMOOTH * (model.v + 1))
     logs = np.log10(frequent.counts + SMOOTH)
@@ -217,10 +431,10 @@ def score(docs: DataFrame, model: Model, doc_id: str, text: str, held: str) -> D
                 text_of = np.repeat(np.arange(docs_here), words.counts)
                 know, rare = found >= 0, np.flatnonzero(found < 0)
                 lg = np.where(know, logs[found] if len(logs) else 0.0, 0.0)
-                cls = np.delete(tokens, starts[1:] - 1) if docs_here else tokens
-                cls = cls[:-1] if docs_here else cls
-                tail = cls >= HEAD
-                tailed = np.where(tail, lg - norm[np.minimum(np.maximum(cls - HEAD, 0), TAILS - 1)], 0.0)
+                unit, before, group = units.place(s.column("text"), words, found)
+                # Words of a group's rest follow its smoothed counts.
+                tailed = inside_groups(known, unit, before, group)
+                tailed += np.where(unit == units.bounds[group + 1] - 1, lg - units.rest[group], 0.0)
                 add = lambda x: np.bincount(text_of, x, minlength=docs_here)
                 net = np.add.reduceat(table.reshape(-1)[contexts(tokens, starts) * CLASSES + tokens], starts)
                 n_tokens = words.counts + 1
@@ -258,8 +472,8 @@ def score(docs: DataFrame, model: Model, doc_id: str, text: str, held: str) -> D
     more = F.when(
         F.col("_c").isNotNull() & (F.col("tf") > 0), F.col("tf") * (F.log10(F.col("_c") + SMOOTH) - F.log10(F.lit(SMOOTH)))
     ).otherwise(0.0)
-    known = F.when(F.col("_c").isNotNull(), F.col("tf")).otherwise(0)
-    total = joined.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", more.alias("more"), known.alias("known"))
+    met = F.when(F.col("_c").isNotNull(), F.col("tf")).otherwise(0)
+    total = joined.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", more.alias("more"), met.alias("known"))
     return (
         total.groupBy("row")
         .agg(
