@@ -29,11 +29,11 @@ END = HEAD + TAILS  # the class of the end, and of what lies before a text
 CLASSES = END + 1
 END_KEY = 0x5D0C1E7D  # the end among the word keys
 FREQUENT = 100_000  # words whose counts are sent to the tasks; the rest are joined
-LEAST = 32  # training occurrences from which a word has vectors of its own
-OWN = 8192  # words with vectors at most, the most frequent: a group's are all met by each of its pairs
+LEAST = 16  # training occurrences from which a word has vectors of its own
+OWN = 16_384  # words with vectors at most, the most frequent: a group's are all met by each of its pairs
 WIDTH = 16  # of a vector
 ROUNDS = 3  # of joint training
-PASSES = 2  # of a round over all pairs of neighbouring words
+PASSES = 4  # of a round over all pairs of neighbouring words
 RATE = 0.3  # of the first round's steps
 CALM = 100.0  # squared gradient that a row starts with: how far rare words hold back
 NOISE = 512  # noise words that each word is told from
@@ -117,21 +117,6 @@ def contexts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return two * CLASSES + one
 
 
-def cell_counts(docs: DataFrame, frequent: Frequent, text: str = "text") -> DataFrame:
-    """``cell, c``: how often each class follows each context, over every training token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
-            for s in slices(batch, text, _SLICE):
-                tokens, starts, _, _ = classes_of(s.column(text), frequent)
-                held += np.bincount(contexts(tokens, starts) * CLASSES + tokens, minlength=len(held))
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["cell", "c"])
-
-    return docs.select(text).mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-
-
 def estimate(cells: np.ndarray, counts: np.ndarray, size: int = 16, noise: int = 25, steps: int = 160, seed: int = 3) -> np.ndarray:
     """Noise-contrastive estimation on context-class counts; returns log10 P(class | context), normalised.
 
@@ -216,39 +201,46 @@ def units_of(top: pd.DataFrame, by_key: np.ndarray, n: np.ndarray, v: np.ndarray
     return Units(bounds, unit[by_key], shares, np.log10(rest), int(bounds[-1]) + heads)
 
 
-def pair_counts(docs: DataFrame, frequent: Frequent, units: Units, text: str = "text") -> DataFrame:
-    """``pair, c``: how often each target follows each unit, over every training word outside the heads."""
+def context_counts(docs: DataFrame, frequent: Frequent, units: Units, text: str = "text") -> DataFrame:
+    """``key, c`` over every training token, in one reading: of pairs, and of cells as their negative less one.
+
+    A cell is a context with the class that follows it; a pair, of words outside the heads, a unit with the target that follows.
+    """
     targets = len(units.shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
             for s in slices(batch, text, _SLICE):
-                words = words_of(s.column(text))
-                unit, before, _ = units.place(s.column(text), words, frequent.find(_keys(words)))
+                tokens, starts, found, words = classes_of(s.column(text), frequent)
+                cells += np.bincount(contexts(tokens, starts) * CLASSES + tokens, minlength=len(cells))
+                unit, before, _ = units.place(s.column(text), words, found)
                 tail = unit < targets
                 code, pairs = pd.factorize(before[tail] * targets + unit[tail])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs, pa.int64()), pa.array(np.bincount(code, minlength=len(pairs)), pa.int64())], names=["pair", "c"]
-                )
+                yield _counted(pairs, np.bincount(code, minlength=len(pairs)))
+        some = np.flatnonzero(cells)
+        yield _counted(~some, cells[some])
+
+    return docs.select(text).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
 
-    return docs.select(text).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "c"])
 
 
-def _add_rows(into: np.ndarray, squares: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
-    """A step on ``rows``, repeated ones summed, by the gradients' running squares."""
-    order = np.argsort(rows, kind="stable")
-    some, first = np.unique(rows[order], return_index=True)
-    sums = np.add.reduceat(grads[order], first)
-    squares[some] += (sums * sums).mean(1)
-    into[some] -= rate * sums / np.sqrt(squares[some])[:, None]
+def _step(rows: np.ndarray, squares: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    """A step on ``rows`` by their gradients' running squares; changes both in place."""
+    squares += (grads * grads).mean(1)
+    rows -= rate * grads / np.sqrt(squares)[:, None]
 
 
 def nce_pass(
     w: np.ndarray, squares: np.ndarray, units: Units, pairs: np.ndarray, counts: np.ndarray, seed: int, rate: float = RATE
 ) -> None:
-    """One pass of noise-contrastive steps over ``pairs``, each as many times as counted; changes ``w, squares`` in place.
+    """One pass of noise-contrastive steps over distinct ``pairs``, each as many times as counted; changes ``w, squares`` in place.
 
-    A batch holds pairs of one group. Its ``NOISE`` noise words a pair are taken in expectation over the group's shares.
+    A batch holds pairs of one group. Its ``NOISE`` noise words a pair are taken in expectation over the group's shares:
+    pairs of one context have the same, so a context meets the group's targets once, with the sum of its counts.
     """
     r = np.random.default_rng(seed)
     targets = len(units.shares)
@@ -256,23 +248,26 @@ def nce_pass(
     shift = np.log(NOISE * units.shares).astype(np.float32)
     context, target = pairs // targets, pairs % targets
     group = np.searchsorted(units.bounds, target, "right") - 1
-    order = np.lexsort((r.random(len(pairs)), group))
+    order = np.lexsort((r.permutation(len(into))[context], group))
     ends = np.searchsorted(group[order], np.arange(len(units.bounds)))
     batches = [order[a : min(a + _BATCH, ends[g + 1])] for g in range(len(ends) - 1) for a in range(ends[g], ends[g + 1], _BATCH)]
     for k in r.permutation(len(batches)):
         rows = batches[k]
         low, high = units.bounds[group[rows[0]]], units.bounds[group[rows[0]] + 1]
-        noise, times = np.arange(low, high), NOISE * units.shares[low:high].astype(np.float32)
-        x, y, c = context[rows], target[rows], counts[rows].astype(np.float32)
-        q = into[x].copy()
+        mine, times = unit[low:high], NOISE * units.shares[low:high].astype(np.float32)
+        some, x = np.unique(context[rows], return_inverse=True)
+        y, c = target[rows] - low, counts[rows].astype(np.float32)
+        q = into[some]
         q[:, WIDTH] = 1  # meets the bias
-        good = 1 / (1 + np.exp(-np.clip((q * unit[y]).sum(1) - shift[y], -30, 30)))
-        bad = 1 / (1 + np.exp(-np.clip(q @ unit[noise].T - shift[noise], -30, 30)))
-        up, down = (good - 1) * c, bad * c[:, None] * times
-        gq = up[:, None] * unit[y] + down @ unit[noise]
+        p = 1 / (1 + np.exp(-np.clip(q @ mine.T - shift[low:high], -30, 30)))
+        g = p * np.bincount(x, c, len(some)).astype(np.float32)[:, None] * times
+        g[x, y] += (p[x, y] - 1) * c
+        gq = g @ mine
         gq[:, WIDTH] = 0
-        _add_rows(unit, squares[:targets], np.concatenate((y, noise)), np.concatenate((up[:, None] * q, down.T @ q)), rate)
-        _add_rows(into, squares[targets:], x, gq, rate)
+        _step(mine, squares[low:high], g.T @ q, rate)
+        moved, seen = into[some], squares[targets + some]
+        _step(moved, seen, gq, rate)
+        into[some], squares[targets + some] = moved, seen
 
 
 def fit_units(pairs: DataFrame, units: Units, rounds: int | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +291,7 @@ def fit_units(pairs: DataFrame, units: Units, rounds: int | None = None, seed: i
 
             def learn_held() -> None:
                 one = pa.Table.from_batches(held)
-                p, c = one.column("pair").to_numpy(), one.column("c").to_numpy()
+                p, c = one.column("key").to_numpy(), one.column("c").to_numpy()
                 for k in range(PASSES):
                     nce_pass(now, squares, units, p, c, int(p[0]) * 64 + step * PASSES + k, RATE / (1 + step / 2))
                 weight[:] += np.bincount(np.concatenate((p % targets, targets + p // targets)), np.concatenate((c, c)), minlength=size)
@@ -387,13 +382,19 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     for tail, c in zip(top["tail"][:HEAD], top["c"][:HEAD]):  # the head stands outside its groups
         n[tail] -= c
         v[tail] -= 1
-    cells = cell_counts(docs, frequent, text).toPandas()
-    table = estimate(cells["cell"].to_numpy(), cells["c"].to_numpy())
     total, distinct = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
     units = units_of(top, by_key, n, v)
-    pairs, path = store(pair_counts(docs, frequent, units, text), "pair-counts")
+    spark, targets = docs.sparkSession, len(units.shares)
+    keys, keys_path = store(context_counts(docs, frequent, units, text), "context-counts")
+    cells = keys.filter("key < 0").toPandas()
+    table = estimate(~cells["key"].to_numpy(), cells["c"].to_numpy())
+    # A context has as many pairs as there are targets, at most; it lies in one task, whose noise it meets once a chunk.
+    context = F.expr(f"key div {targets}")
+    pairs = keys.filter("key >= 0").repartition(context).sortWithinPartitions(F.xxhash64(context), "key")
+    pairs, path = store(pairs, "pair-counts")
     vectors, group_sums = fit_units(pairs, units)
-    discard(pairs.sparkSession, path)
+    discard(spark, path)
+    discard(spark, keys_path)
     return Model(frequent, table, units, vectors, group_sums, total, distinct, counts)
 
 
