@@ -42,7 +42,7 @@ _CHUNK = 1 << 16  # pairs that a task holds at once, and tokens that are scored
 _PART = 4096  # rows of the vectors that are summed in one row of Spark
 _MOST = 20.0  # of a product of two vectors
 SMOOTH = 0.5
-_SLICE = 12 << 20
+_SLICE = 4 << 20
 COUNT_SCHEMA = "key long, tail int, c long"
 SCORE_SCHEMA = (
     "row long, key long, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -332,7 +332,7 @@ def _parts(parts: dict[int, np.ndarray], kind: type = np.float32) -> pa.RecordBa
 
 def _group_sums(spark: SparkSession, w: np.ndarray, units: Units) -> np.ndarray:
     """Log of the sum of each context over the targets of each group: batched products, some contexts a task."""
-    targets, contexts_, step = len(units.shares), units.end + 1, 256
+    targets, contexts_, step = len(units.shares), units.end + 1, 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
