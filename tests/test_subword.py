@@ -213,3 +213,50 @@ def test_coverage_cut(spark):
     df = spark.createDataFrame([("a", 90), ("b", 9), ("c", 1)], "word string, freq long")
     got = {r.char: r.kept for r in subword.char_coverage(df, 0.95).collect()}
     assert got == {WORD_MARK: True, "a": True, "b": False, "c": False}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_shards_follow_the_rule_of_one_word(seed):
+    """All places of a merge at once, merges taken back, and words read out, against words one by one."""
+    rng = random.Random(seed)
+    words = [[rng.randint(-1, 4) for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(0, 12))]
+    freq = [rng.randint(1, 9) for _ in words]
+    shard = merging.Shard(merging.pa.array(words, merging.pa.list_(merging.pa.int32())), merging.pa.array(freq, merging.pa.int64()), frozenset([3]), True)
+    known, states = [0, 1, 2, 4], [words]
+    for new in range(10, 16):
+        left, right = rng.choice(known), rng.choice(known)
+        want, after = Counter(), []
+        for w, f in zip(states[-1], freq):
+            at = merging.occurrences(w, left, right)
+            after.append(merging.merged(w, at, new))
+            for a, b, n in merging.changes(w, at, new):
+                if not {a, b} & {-1, 3}:
+                    want[a, b] += n * f
+        a, b, n = shard.apply((left, right, new))
+        assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == {p: n for p, n in want.items() if n}
+        states.append(after)
+        known.append(new)
+    for count in (6, rng.randint(0, 6), 0):
+        shard.back_to(min(count, len(shard.applied)))
+        ids, f = shard.words()
+        kept = [(w, x) for w, x in zip(states[len(shard.applied)], freq) if len(w) > 1]
+        assert list(zip(ids.to_pylist(), f.to_pylist())) == kept
+
+
+def test_many_merges_of_many_words_are_fast():
+    rng = random.Random(2)
+    size = [rng.randint(6, 14) for _ in range(200_000)]
+    ids = merging.pa.array([rng.choices(range(20), k=k) for k in size], merging.pa.list_(merging.pa.int32()))
+    shard = merging.Shard(ids, merging.pa.array([1] * len(size), merging.pa.int64()), frozenset())
+    start = time.perf_counter()
+    for k in range(300):
+        shard.apply((k % 20, k // 20, 20 + k))
+    assert time.perf_counter() - start < 3
+
+
+def test_near_ties_in_another_order_settle_in_one_round(spark):
+    """Guesses with poor counts come in another order than the merges; those that share no place pass each other."""
+    words = random_words(9, "abcdefghijklmnopqrstuvwxyz", 400)
+    df = spark.createDataFrame(list(words.items()), "word string, freq long")
+    poor, exact = learn_bpe(df, 200, guess_words=200), learn_bpe(df, 200)
+    assert poor.merges == exact.merges and len(poor.merges) > 100 and poor.rounds <= 20
