@@ -97,3 +97,35 @@ def test_segments_match_by_id_and_grams_stay_put(spark):
     assert counts == {(1, "a"): (1, 1), (2, "b"): (2, 1), (2, "b b"): (1, 0)}
     plan = plan_of(bleu.clipped_matches(pairs))
     assert not [line for line in plan.splitlines() if "Exchange" in line and "gram" in line]
+
+
+def test_counting_holds_few_segments_at_a_time(spark, monkeypatch):
+    """Segments that come twice, null texts and rows in slices of few tokens; most tokens handed on at a time are bounded."""
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choices("a b c d".split(), k=rng.randint(0, 9)))
+    rows = [(rng.choice([None, *range(40)]), line() or None, line() or None) for _ in range(120)]
+    want = {}
+    for seg, *texts in rows:
+        for side, text in enumerate(texts):
+            t = tokens_13a(text or "")
+            for n in range(1, 5):
+                for i in range(len(t) - n + 1):
+                    want.setdefault((seg, n, " ".join(t[i : i + n])), [0, 0])[side] += 1
+    got = bleu.ngram_counts(spark.createDataFrame(rows, SEG).repartition(3))
+    assert {(r.seg_id, r.n, r.gram): [r.hyp_count, r.ref_count] for r in got.collect()} == want and got.count() == len(want)
+
+    monkeypatch.setattr(bleu, "SLICE_TOKENS", 8)
+    batch = bleu.pa.RecordBatch.from_pylist([{"hypothesis": ["a"] * k, "reference": ["a"] * 3} for k in (9, 0, 1, 2, 3, 0)])
+    parts = list(bleu._slices(batch, ("hypothesis", "reference")))
+    assert bleu.pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and [p.num_rows for p in parts] == [1, 2, 1, 1, 1]
+    table = bleu.pa.Table.from_pylist([{"place": 0, "hypothesis": ["a", "b", "a", "b"], "reference": ["a", "b"]}])
+    counts = [(r["n"], r["gram"], r["hyp_count"], r["ref_count"]) for b in bleu._counted(table, 2) for r in b.to_pylist()]
+    assert sorted(counts) == [(1, "a", 2, 1), (1, "b", 2, 1), (2, "a b", 2, 1), (2, "b a", 1, 0)]
+
+
+def test_no_row_of_an_ngram_is_aggregated_by_spark(spark):
+    pairs = bleu.pair_segments(
+        spark.createDataFrame([(1, "a")], "seg_id long, hypothesis string"), spark.createDataFrame([(1, "a")], "seg_id long, reference string")
+    )
+    plan = plan_of(bleu.ngram_counts(pairs))
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 2

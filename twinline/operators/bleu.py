@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinline.functions.text import words
 
 MAX_ORDER = 4
+SLICE_TOKENS = 1 << 18  # counted at a time, which bounds a worker's memory whatever a batch holds
 
 # Fixed values of the public 13a tokenization: literal replacements, then patterns.
 LITERALS_13A = (
@@ -55,41 +56,65 @@ def pair_segments(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     return hyps.hint("merge").join(other, "seg_id")
 
 
-def _with_grams(tokens: DataFrame, max_order: int) -> DataFrame:
-    """Add ``g1`` .. ``gn``; each order extends the one below by the token that follows."""
-    tokens = tokens.withColumn("g1", F.col("tokens"))
-    for n in range(2, max_order + 1):
-        left = F.greatest(F.size("tokens") - (n - 1), F.lit(0))
-        grams = F.zip_with(
-            F.slice(f"g{n - 1}", F.lit(1), left),
-            F.slice("tokens", F.lit(n), left),
-            lambda gram, token: F.concat(gram, F.lit(" "), token),
-        )
-        tokens = tokens.withColumn(f"g{n}", grams)
-    return tokens
+def _counted(rows: pa.Table, max_order: int) -> Iterator[pa.RecordBatch]:
+    """``place, n, gram, hyp_count, ref_count`` of rows whose segments are told apart by ``place``."""
+    sides = []
+    for c in ("hypothesis", "reference"):
+        lists = rows[c].combine_chunks()
+        count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        tokens = lists.flatten().cast(pa.large_string())
+        sides.append([np.repeat(np.arange(len(count)), count), tokens, tokens])
+    place = rows["place"].to_numpy()
+    for n in range(1, max_order + 1):
+        parts = []
+        for in_hyp, side in ((1, sides[0]), (0, sides[1])):
+            row, tokens, grams = side
+            if n > 1:
+                side[2] = grams = pc.binary_join_element_wise(grams[:-1], tokens[n - 1 :], pa.scalar(" ", pa.large_string()))
+            inside = row[: len(grams)] == row[len(row) - len(grams) :]
+            found = place[row[: len(grams)][inside]]
+            hyp = pa.array(np.full(len(found), in_hyp))
+            ref = pa.array(np.full(len(found), 1 - in_hyp))
+            parts.append(pa.table([pa.array(found), grams.filter(pa.array(inside)), hyp, ref], names=["place", "gram", "hyp", "ref"]))
+        sums = pa.concat_tables(parts).group_by(["place", "gram"]).aggregate([("hyp", "sum"), ("ref", "sum")]).combine_chunks()
+        columns = [sums["place"], pa.array(np.full(len(sums), n, np.int32)), sums["gram"].cast(pa.string()), sums["hyp_sum"], sums["ref_sum"]]
+        yield from pa.table(columns, names=["place", "n", "gram", "hyp_count", "ref_count"]).to_batches(SLICE_TOKENS)
 
 
 def ngram_counts(segments: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
-    """Occurrences of each n-gram in the hypothesis and in the reference of its segment."""
-    texts = F.array(
-        *[
-            F.struct(F.lit(int(c == "hypothesis")).alias("in_hyp"), bleu_tokenize(F.col(c)).alias("tokens"))
-            for c in ("hypothesis", "reference")
-        ]
-    )
-    tokens = _with_grams(segments.select("seg_id", F.inline(texts)), max_order)
-    lists = F.array(
-        *[
-            F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("grams"))
-            for n in range(1, max_order + 1)
-        ]
-    )
-    grams = tokens.select("seg_id", "in_hyp", F.inline(lists)).select(
-        "seg_id", "n", "in_hyp", F.explode("grams").alias("gram")
-    )
-    return grams.groupBy("seg_id", "n", "gram").agg(
-        F.sum("in_hyp").alias("hyp_count"), F.sum(1 - F.col("in_hyp")).alias("ref_count")
-    )
+    """Occurrences of each n-gram in the hypothesis and in the reference of its segment.
+
+    The rows of a segment come one after another, so a task holds the n-grams of some segments at a time, never all of its
+    own. Numbering them asks for no more than the order that :func:`pair_segments` leaves.
+    """
+    in_segment = Window.partitionBy("seg_id").orderBy("seg_id")
+    numbered = segments.select("seg_id", "hypothesis", "reference", F.row_number().over(in_segment).alias("nth"))
+    tokens = numbered.select("seg_id", "nth", *[bleu_tokenize(F.col(c)).alias(c) for c in ("hypothesis", "reference")])
+
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        first = rows["nth"].to_numpy() == 1
+        ids = rows["seg_id"].filter(pa.array(first)).combine_chunks()
+        for sums in _counted(rows.append_column("place", pa.array(np.cumsum(first) - 1)), max_order):
+            if sums.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(sums["place"]), *sums.columns[1:]], names=["seg_id", "n", "gram", "hyp_count", "ref_count"]
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last segment, which may go on
+        for batch in (part for whole in batches for part in _slices(whole, ("hypothesis", "reference"))):
+            starts = np.flatnonzero(batch["nth"].to_numpy() == 1)
+            if len(starts):
+                if held or starts[-1]:
+                    yield from counted([*held, batch.slice(0, starts[-1])])
+                held = []
+            held.append(batch.slice(starts[-1] if len(starts) else 0))
+        if held:
+            yield from counted(held)
+
+    kind = segments.schema["seg_id"].dataType.simpleString()
+    return tokens.mapInArrow(run, f"seg_id {kind}, n int, gram string, hyp_count long, ref_count long")
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -115,6 +140,17 @@ def gram_keys(lists: pa.Array, max_order: int) -> list[np.ndarray]:
     return keys
 
 
+def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of together at most :data:`SLICE_TOKENS` tokens, or one row."""
+    size = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    end, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        most = (end[at - 1] if at else 0) + SLICE_TOKENS
+        to = max(at + 1, int(np.searchsorted(end, most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def clipped_matches(segments: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     """Clipped matches and totals by order, summed over the corpus.
 
@@ -125,7 +161,7 @@ def clipped_matches(segments: DataFrame, max_order: int = MAX_ORDER) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((max_order, 3), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, ("hypothesis", "reference"))):
             both = [gram_keys(batch.column(c), max_order) for c in ("hypothesis", "reference")]
             for n, (hyp, ref) in enumerate(zip(*both)):
                 (h, in_hyp), (r, in_ref) = (np.unique(x, return_counts=True) for x in (hyp, ref))
