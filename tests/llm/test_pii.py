@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from twinline.llm import pii
+from twinline.llm import pii, queries
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -90,3 +91,19 @@ def test_redaction(spark):
     rows = [(1, "mail a.b@c.de or 10.0.0.1 now"), (2, None), (3, "")]
     got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, "mail [email] or [ip] now"), (2, None), (3, "")]
+
+
+def test_query_counts_and_digest_equal_the_plain_patterns(spark, tmp_path):
+    texts = [
+        None, "", "a@b.cc", "10.0.0.1 and 10.0.0.2", "4111 1111 1111 1111", "+1 (301) 555-0346", "+44 20 7946 0958, 1.2.3.4, x@y.zz, 8.8.8.8",
+        "4111-1111-1111-1111 a@b.cc 4111111111111111 c@d.ee f@g.hh",
+    ]
+    rows = [(i if i % 4 else None, t, "en", "s", 0) for i, t in enumerate(texts)] + [(2, texts[3], "en", "s", 0)]
+    spark.createDataFrame(rows, queries.DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op12_pii(spark, str(tmp_path)).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256").collect()
+    want = []
+    for doc_id, text, *_ in rows:
+        base = plain(text)
+        kinds = [s.split(":")[0] for s in base.split(",")]
+        want.append((doc_id, *[kinds.count(k) for k in pii.KINDS], hashlib.sha256(base.encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
