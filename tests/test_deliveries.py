@@ -12,6 +12,7 @@ from twinline.functions import rules as R
 from twinline.operators import bleu, mix, profile, sketches, split, terms
 from twinline.plans import oracles, queries
 from twinline.plans import views as V
+from twinline.session import small_side
 from twinline.sources import fieldlog, tables
 from twinline.streaming import run_clean_stream
 
@@ -119,6 +120,33 @@ def test_many_terms_equal_the_pattern(spark):
     assert terms.term_hits(docs, terms.term_table(spark, found).limit(0)).count() == 0
 
 
+def test_term_hits_read_the_texts_once(spark, tmp_path):
+    texts = [(1, "x a b c d"), (None, "a b c"), (None, "a b c"), (2, "abc d. a bcd"), (3, None), (4, "a b. c"), (5, "a\u00a0b\tc e\u0301")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = tables.scan_table(spark, f"{tmp_path}/documents.parquet", "doc_id long, text string")
+    listed = spark.createDataFrame(
+        [("abc", ["a", "b", "c"]), ("same", ["A", "b", "C"]), ("d", ["d"]), ("a b", ["a b"]), ("none", ["a", None]), ("no parts", None), ("gap", ["", "a"])],
+        terms.TERM,
+    )
+    want = {(1, "abc"), (1, "same"), (1, "d"), (None, "abc"), (None, "same"), (2, "abc"), (2, "same"), (2, "d"), (5, "abc"), (5, "same"), (1, "gap"), (None, "gap"), (2, "gap"), (4, "gap"), (5, "gap")}
+    hits = terms.term_hits(docs, listed)
+    got = [tuple(r) for r in hits.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("Relation [doc_id") == 1
+
+
+def test_term_hits_of_a_trie_too_large_to_send(spark, monkeypatch):
+    monkeypatch.setattr(terms, "small_side", lambda df, label: small_side(df, label, max_bytes=0))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(1, "a b c"), (2, "ab c a"), (3, "a c"), (4, " b  c a b")], "doc_id long, text string")
+        got = [tuple(r) for r in terms.term_hits(docs, terms.term_table(spark, [("a", "b", "c"), ("b", "c"), ("c",)])).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == [(1, "a b c"), (1, "b c"), (1, "c"), (2, "a b c"), (2, "c"), (3, "c"), (4, "b c"), (4, "c")]
+
+
 def test_planted_leaks_are_found(spark):
     rows = [("train", 1, "a b", "x"), ("train", 2, "c", "y"), ("val", 3, "A b", "X"), ("test", 4, "c", "z"), ("test", 5, "q", "q")]
     splits = spark.createDataFrame(rows, "split string, ord long, src string, tgt string")

@@ -1,7 +1,7 @@
-"""Texts that hold any of many terms: terms as a table, met by a join on word hashes.
+"""Texts that hold any of many terms: terms as a table, met by joins on words.
 
 A term is a list of parts that may or may not have white space between them, at word boundaries, in any case: the rule
-``has_marker`` for lists too long for one pattern. Each way to write the parts as words is a path of word hashes; the
+``has_marker`` for lists too long for one pattern. Each way to write the parts as words is a path of words; the
 prefixes of all paths form a trie. A text's words are looked up in the trie, one join a depth, so only the
 words that begin some term are ever extended.
 """
@@ -44,9 +44,12 @@ def term_paths(terms: DataFrame) -> DataFrame:
     return terms.filter(F.size("parts") > 0).select("term", F.explode(_spellings(lowered)).alias("words")).distinct()
 
 
-def _path_hash(words: Column) -> Column:
-    """A hash of a word sequence, built word by word."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda h, w: F.xxhash64(h, w))
+def term_nodes(paths: DataFrame) -> DataFrame:
+    """``n, path, ends, more``: every prefix of a path, of ``n`` words; whether it is a path, and whether longer ones go on."""
+    size = F.size("words")
+    prefix = F.struct(F.col("i").alias("n"), F.array_join(F.slice("words", F.lit(1), F.col("i")), " ").alias("path"))
+    cut = paths.select("words", F.explode(F.sequence(F.lit(1), size)).alias("i")).select(prefix.alias("at"), (F.col("i") == size).alias("last"))
+    return cut.groupBy("at.n", "at.path").agg(F.max("last").alias("ends"), F.max(~F.col("last")).alias("more"))
 
 
 def term_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,24 +57,38 @@ def term_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
 
     Null texts hold none. Words are runs of letters, digits and ``_``; only white space may lie between the words of
     a term, and a part is such a run. The trie goes to the tasks while its bytes allow, else it is joined by shuffle.
+    Texts are read once: a row is a word with the few that follow it, and walks down the trie by itself.
     """
-    spelt = term_paths(terms).select("term", "words", F.array_join("words", " ").alias("path"), F.size("words").alias("n"))
-    paths = materialize(spelt, "term-paths")
+    # A path of a missing or empty word meets no text.
+    spelt = term_paths(terms).filter(F.forall("words", lambda w: F.coalesce(w != "", F.lit(False))))
+    paths = materialize(spelt.select("term", "words", F.array_join("words", " ").alias("path"), F.size("words").alias("n")), "term-paths")
     depth = paths.agg(F.max("n").alias("n")).first()["n"] or 0
-    segments = F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}_{SPACE}]+")
+    if depth == 0:
+        return docs.limit(0).select(F.col(key).alias(key), F.lit("").alias("term"))
+    nodes = materialize(term_nodes(paths), "term-nodes")
+    # Common letters first: a class is tried from the left.
+    segments = F.split(F.lower(text), rf"[^a-z \p{{L}}\p{{N}}_{SPACE}]+")
     words = docs.select(F.col(key).alias("key"), F.explode(segments).alias("s")).select(
-        "key", F.filter(F.split("s", f"[{SPACE}]+"), lambda w: w != "").alias("w")
+        "key", F.array_remove(F.split("s", r"[^a-z\p{L}\p{N}_]+"), "").alias("w")
     )
     # Each word with the few that follow it in its segment; not the whole segment a word.
-    after = F.transform("w", lambda w, i: F.slice("w", i + 1, F.lit(max(depth, 1))))
-    alive = words.select("key", F.explode(after).alias("w")).select("key", "w", _path_hash(F.slice("w", 1, 1)).alias("h"))
-    found = docs.limit(0).select(F.col(key).alias("key"), F.lit("").alias("term"))
+    names = [f"w{n}" for n in range(1, depth + 1)]
+    after = F.transform("w", lambda w, i: F.struct(w.alias("w1"), *[F.get("w", i + n).alias(f"w{n + 1}") for n in range(1, depth)]))
+    alive = words.select("key", F.inline(after))
     for n in range(1, depth + 1):
-        ends = paths.filter(F.col("n") == n).select(_path_hash(F.col("words")).alias("h"), "term", "path")
-        # The words themselves are compared, so equal hashes of unlike words do no harm.
-        met = alive.join(small_side(ends, "term-ends"), "h").filter(F.array_join(F.slice("w", 1, n), " ") == F.col("path"))
-        found = found.unionByName(met.select("key", "term"))
-        longer = paths.filter(F.col("n") > n).select(_path_hash(F.slice("words", 1, n)).alias("h")).distinct()
-        more = alive.join(small_side(longer, "term-nodes"), "h", "left_semi").filter(F.size("w") > n)
-        alive = more.select("key", "w", F.xxhash64("h", F.get("w", F.lit(n))).alias("h"))
+        level = nodes.filter(F.col("n") == n).select(
+            F.col("path").alias(f"p{n}"), F.col("ends").alias(f"ends{n}"), F.col("more").alias(f"more{n}")
+        )
+        if n == 1:
+            alive = alive.join(small_side(level, "term-level"), F.col("w1") == F.col("p1"))
+            continue
+        longer = F.when(F.col(f"more{n - 1}"), F.concat(f"p{n - 1}", F.lit(" "), f"w{n}"))
+        # Rows that go no further get keys of their own, which no path has, so a shuffle does not gather them.
+        own = F.concat(F.lit(" "), F.xxhash64("key", *names).cast("string"))
+        alive = alive.withColumn("next", F.coalesce(longer, own))
+        alive = alive.join(small_side(level, "term-level"), F.col("next") == F.col(f"p{n}"), "left").drop("next")
+    at = [F.when(F.col(f"ends{n}"), F.struct(F.lit(n).alias("n"), F.col(f"p{n}").alias("path"))) for n in range(1, depth + 1)]
+    ended = alive.filter(F.coalesce(*[F.when(F.col(f"ends{n}"), True) for n in range(1, depth + 1)], F.lit(False)))
+    met = ended.select("key", F.inline(F.array_compact(F.array(*at))))
+    found = met.join(small_side(paths.select("n", "path", "term"), "term-ends"), ["n", "path"]).select("key", "term")
     return found.distinct().withColumnRenamed("key", key)
